@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, decontaminate, secrets_scan
+from . import binary, bpe, decontaminate, secrets_scan, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_shards(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op10_wavelet": op10_wavelet,
 }
 
