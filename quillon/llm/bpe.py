@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textops import flat, sliced
 
@@ -208,7 +209,7 @@ def joined(pieces: list[tuple[np.ndarray, bytes]]) -> np.ndarray:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """docs with an added array<int> column of ids. Every other column stays."""
-    schema = docs.drop(into).schema.add(into, "array<int>")
+    schema = docs.drop(into).schema.add(into, T.ArrayType(T.IntegerType()))
     names = [x for x in docs.columns if x != into]
 
     def run(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, decontaminate, secrets_scan, toxicity
+from . import binary, bpe, decontaminate, neardup, secrets_scan, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digests(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_jaccard": op2_jaccard,
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
