@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, decontaminate, neardup, secrets_scan, toxicity
+from . import binary, bpe, decontaminate, linedup, neardup, secrets_scan, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_shards(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op8_lines": op8_lines,
     "op10_wavelet": op10_wavelet,
 }
 

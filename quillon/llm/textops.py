@@ -112,8 +112,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * inverse[start])
 
 
-def shingles_of(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles as (row, hash), sorted by both. A row with fewer than k words, but not none, has one shingle of all its words."""
+def shingles_of(words: Words, k: int = 5, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """k-word shingles as (row, hash), distinct and sorted by both unless `distinct` is false. A row with fewer than k words, but not none, has one shingle of all its words."""
     n = len(words.hash)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, U64)
@@ -136,6 +136,8 @@ def shingles_of(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         parts_row.append(short)
         parts_hash.append(h + words.count[short].astype(U64))
     row, h = np.concatenate(parts_row), mix(np.concatenate(parts_hash))
+    if not distinct:
+        return row, h
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     keep = np.ones(len(h), bool)
