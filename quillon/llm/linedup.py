@@ -222,7 +222,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """docs with the text cut down to the kept lines, all columns kept. A document with words that keeps none of them goes."""
     found = kept_lines(docs, key, text).select(F.col("doc_id").alias("__key"), "n_lines", "kept").groupBy("__key").agg(F.max(F.struct("n_lines", "kept")).alias("__x"))
     rows = docs.join(found, docs[key].eqNullSafe(F.col("__key")), "left").select(*docs.columns, F.col("__x.n_lines").alias("__n"), F.col("__x.kept").alias("__kept"))
-    place = docs.columns.index(text)
+    names = list(docs.columns)
+    place = names.index(text)
 
     def run(batches):
         for part in sliced(batches, text):
@@ -242,8 +243,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                         out.append(raw[at[x] : min(at[x + 1], offsets[row + 1])].rstrip(b"\n").decode())
                 texts.append("\n".join(out))
                 stays.append(bool(kept))
-            columns = [part.column(i) for i in range(len(docs.columns))]
+            columns = [part.column(i) for i in range(len(names))]
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
 
     return rows.mapInArrow(run, docs.schema)
