@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, decontaminate, linedup, neardup, secrets_scan, toxicity
+from . import ann, binary, bpe, decontaminate, linedup, neardup, secrets_scan, toxicity
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_shards(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op8_lines": op8_lines,
+    "op9_neighbours": op9_neighbours,
     "op10_wavelet": op10_wavelet,
 }
 
