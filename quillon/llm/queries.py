@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary, bpe, decontaminate, linedup, neardup, secrets_scan, toxicity
+from . import ann, binary, bpe, decontaminate, linedup, neardup, pii, secrets_scan, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.QUERY_KEY)
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op8_lines": op8_lines,
     "op9_neighbours": op9_neighbours,
     "op10_wavelet": op10_wavelet,
