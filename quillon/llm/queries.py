@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary, bpe, decontaminate, linedup, neardup, pii, secrets_scan, toxicity
+from . import ann, binary, bpe, decontaminate, linedup, neardup, pii, secrets_scan, substring, toxicity
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.QUERY_KEY)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_substrings": op7_substrings,
     "op8_lines": op8_lines,
     "op9_neighbours": op9_neighbours,
     "op10_wavelet": op10_wavelet,
