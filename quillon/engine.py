@@ -12,18 +12,17 @@ from pyspark.sql import functions as F
 
 from .errors import QueryError
 from .functions.collation import collated
-from .functions.order import sort_key
+from .functions.order import Key, sort_key
 from .limits import DEFAULT, Limits
 from .operators import joins, paging
 from .operators.expressions import Scope
 from .operators.filters import compile_filter
 from .operators.paging import Page
-from .operators.pipeline import RECORD, Rows, run
+from .operators.pipeline import RECORD, Rows, needs_order, run
 from .operators.projection import project
 from .operators.values import STRING, resolve
 from .plans.documents import QueryDocument, parse_join, parse_query
 from .plans.stages import parse_pipeline
-from .functions.order import Key
 
 HIDDEN = {RECORD, "_deleted"}
 FILE_STEP = 1 << 40  # record numbers of one file of a table of many
@@ -46,22 +45,28 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
 class Engine:
     """Runs documents. `tables` gives a frame for a name; frames with a column _record_number have a row order."""
 
-    def __init__(self, spark: SparkSession, tables: Callable[[str], DataFrame] | None = None, limits: Limits = DEFAULT):
+    def __init__(self, spark: SparkSession, tables: Callable[[str, bool], DataFrame] | None = None, limits: Limits = DEFAULT):
+        """tables(name, ordered): the frame of a table; with record numbers if `ordered`."""
         self.spark, self.limits = spark, limits
         self._tables = tables
 
     @classmethod
     def of_parquet(cls, spark: SparkSession, folder: str, limits: Limits = DEFAULT) -> Engine:
         """Tables are folder/name.parquet."""
-        return cls(spark, lambda name: numbered(spark, f"{folder}/{name}.parquet"), limits)
 
-    def table(self, name: str | DataFrame) -> DataFrame:
+        def tables(name: str, ordered: bool) -> DataFrame:
+            path = f"{folder}/{name}.parquet"
+            return numbered(spark, path) if ordered else spark.read.parquet(path)
+
+        return cls(spark, tables, limits)
+
+    def table(self, name: str | DataFrame, ordered: bool = False) -> DataFrame:
         if isinstance(name, DataFrame):
             df = name
         elif self._tables is None:
             raise QueryError(f"no table {name}")
         else:
-            df = self._tables(name)
+            df = self._tables(name, ordered)
         return df.where(~F.col("_deleted")) if "_deleted" in df.columns else df
 
     # -- single-table requests ---------------------------------------------
@@ -69,12 +74,14 @@ class Engine:
     def find(self, table: str | DataFrame, document) -> DataFrame:
         """The result of a query document, as a plan. Pages have page()."""
         q = parse_query(document, self.limits)
-        df = self.filtered(self.table(table), q)
+        plan = parse_pipeline(q.aggregate) if q.aggregate is not None else None
+        ordered = needs_order(plan) if plan else bool(q.sort or q.skip or q.limit is not None or q.page_size is not None)
+        df = self.filtered(self.table(table, ordered), q)
         if q.page_size is not None:
             return project(self._page(df, q).frame, q.projection, HIDDEN)
-        if q.aggregate is not None:
+        if plan:
             order = [Key(RECORD)] if RECORD in df.columns else []
-            out = run(Rows(df, order), parse_pipeline(q.aggregate))
+            out = run(Rows(df, order), plan)
             return self.limits.check(out, "groups") if self.limits.groups is not None else out
         tie = [RECORD] if RECORD in df.columns else []
         if q.sort:
@@ -95,14 +102,14 @@ class Engine:
         return project(df, q.projection, HIDDEN)
 
     def filtered(self, df: DataFrame, q: QueryDocument) -> DataFrame:
-        return df.where(compile_filter(Scope(df.schema, hidden=frozenset(HIDDEN)), q.filter)) if q.filter else df
+        return df.where(compile_filter(Scope(df.schema, hidden=frozenset(HIDDEN)), q.filter, True)) if q.filter else df
 
     def page(self, table: str | DataFrame, document) -> Page:
         """One page with the cursor of the next."""
         q = parse_query(document, self.limits)
         if q.page_size is None:
             raise QueryError("page_size is needed")
-        base = self.table(table)
+        base = self.table(table, True)
         p = self._page(self.filtered(base, q), q)
         p.frame = project(p.frame, q.projection, HIDDEN)
         names = p.frame.columns

@@ -10,11 +10,11 @@ def nfkc_lower(c: Column) -> Column:
     """NFKC, then lower case; Spark has no built-in normalisation, so an Arrow UDF gives the key."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def key(s: pd.Series) -> pd.Series:
+    def key(s):
         return s.str.normalize("NFKC").str.lower()
 
-    return key(c)
+    key.__annotations__ = {"s": pd.Series, "return": pd.Series}  # the kind of UDF is read from real types
+    return F.pandas_udf(key, "string")(c)
 
 
 def collated(c: Column, name: str | None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import QueryError
 from ..plans import expressions as E
-from .values import ARRAY, BOOLEAN, NULL, NUMBER, STRING, Value, both, common_type, literal, missing, null, ordered, resolve, same, sure, walk
+from .values import ARRAY, NULL, NUMBER, STRING, Value, both, common_type, literal, missing, null, ordered, resolve, same, walk
 
 
 @dataclass(frozen=True)
@@ -238,6 +238,3 @@ def reduced(s: Scope, v: Value, x: E.Bind) -> Value:
     t = t or T.StringType()
     pairs = F.transform(v.column, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     return Value(F.aggregate(pairs, start.column.cast(t), lambda a, z: step(Value(a, t), z["c"], z["i"]).column.cast(t)), t)
-
-
-__all__ = ["Scope", "boolean", "scalar", "BOOLEAN", "sure"]

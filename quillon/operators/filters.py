@@ -11,14 +11,15 @@ from pyspark.sql import types as T
 
 from ..plans.documents import is_operators
 from .expressions import Scope, boolean
-from .values import ARRAY, OBJECT, Value, literal, ordered, resolve, same, sure, walk
+from .values import ARRAY, Value, comparable, literal, not_nan, ordered, resolve, same, sure
 
 
-def compile_filter(scope: Scope, f: dict) -> Column:
+def compile_filter(scope: Scope, f: dict, loose: bool = False) -> Column:
+    """loose: null may stand for false, as in a WHERE; such comparisons reach the scan, guarded ones don't."""
     parts = []
     for key, condition in f.items():
         if key == "$and":
-            parts.append(reduce(lambda a, b: a & b, (compile_filter(scope, x) for x in condition), F.lit(True)))
+            parts += [compile_filter(scope, x, loose) for x in condition]
         elif key == "$or":
             parts.append(reduce(lambda a, b: a | b, (compile_filter(scope, x) for x in condition), F.lit(False)))
         elif key == "$not":
@@ -28,23 +29,23 @@ def compile_filter(scope: Scope, f: dict) -> Column:
 
             parts.append(boolean(scope, parse_boolean(condition)))
         else:
-            parts.append(matches(resolve(scope.schema, key, scope.root, scope.presence), condition))
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+            parts.append(matches(resolve(scope.schema, key, scope.root, scope.presence), condition, loose))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def matches(v: Value, condition: Any) -> Column:
+def matches(v: Value, condition: Any, loose: bool = False) -> Column:
     if not is_operators(condition):
         return equal(v, condition)
-    return reduce(lambda a, b: a & b, (operator(v, op, x) for op, x in condition.items()))
+    return reduce(lambda a, b: a & b, (operator(v, op, x, loose) for op, x in condition.items()))
 
 
-def operator(v: Value, op: str, x: Any) -> Column:
+def operator(v: Value, op: str, x: Any, loose: bool = False) -> Column:
     if op == "$eq":
         return equal(v, x)
     if op == "$ne":
         return ~equal(v, x)
     if op == "$in":
-        return member(v, x)
+        return member(v, x, loose)
     if op == "$nin":
         return ~member(v, x)
     if op == "$exists":
@@ -54,6 +55,12 @@ def operator(v: Value, op: str, x: Any) -> Column:
     if v.present is False:
         return F.lit(False)
     if op in ("$gt", "$gte", "$lt", "$lte"):
+        if loose and v.present is True and v.kind != ARRAY and x is not None:
+            pair = comparable(v, literal(x))
+            if not pair:
+                return F.lit(False)
+            out = {"$gt": pair[0] > pair[1], "$gte": pair[0] >= pair[1], "$lt": pair[0] < pair[1], "$lte": pair[0] <= pair[1]}[op]
+            return out & not_nan(v) if op in ("$gt", "$gte") else out  # NaN is above all numbers
         return v.is_present & compared(v, op, x)
     if op == "$size":
         return array_present(v) & sure(F.size(v.column) == x) if v.kind == ARRAY else F.lit(False)
@@ -84,7 +91,7 @@ def contains(v: Value, x: Any) -> Column:
     return sure(F.exists(v.column, lambda y: same(Value(y, e), literal(x))))
 
 
-def member(v: Value, items: list) -> Column:
+def member(v: Value, items: list, loose: bool = False) -> Column:
     plain = [x for x in items if isinstance(x, (str, int, float)) and not isinstance(x, bool)]
     if v.present is False or not items:
         return F.lit(False)
@@ -93,6 +100,8 @@ def member(v: Value, items: list) -> Column:
     if kind and len(plain) > 4:
         own = [x for x in plain if isinstance(x, kind)]
         rest = [x for x in items if x not in own or isinstance(x, bool)]
+        if own and not rest and loose and v.present is True:
+            return v.column.isin(own)
         out = sure(v.column.isin(own)) if own else F.lit(False)
         return v.is_present & reduce(lambda a, b: a | b, (equal(v, x) for x in rest), out)
     return reduce(lambda a, b: a | b, (equal(v, x) for x in items))
@@ -115,6 +124,3 @@ def any_element(v: Value, condition: dict) -> Column:
     if not isinstance(e, T.StructType):
         return F.lit(False)
     return sure(F.exists(v.column, lambda y: y.isNotNull() & compile_filter(Scope(e, y), condition)))
-
-
-__all__ = ["compile_filter", "matches", "walk", "OBJECT"]

@@ -53,5 +53,5 @@ def execute(tables, doc: JoinDocument, hidden: set[str], limits: Limits = DEFAUL
         out = out.withColumns({marker(t): F.coalesce(marker(t), F.lit(False)) for t in padded})
     presence = {n: F.col(quoted(marker(t))) for t in padded for n in out.columns if n.startswith(f"{t}.")}
     if doc.filter:
-        out = out.where(compile_filter(Scope(out.schema, presence=presence, hidden=frozenset(marks)), doc.filter))
+        out = out.where(compile_filter(Scope(out.schema, presence=presence, hidden=frozenset(marks)), doc.filter, True))
     return project(out, doc.projection, marks)

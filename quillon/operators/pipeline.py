@@ -41,6 +41,13 @@ class Rows:
         return self.df.orderBy(*columns(self.order)) if self.order else self.df
 
 
+def needs_order(plan: Pipeline) -> bool:
+    """Whether any stage or accumulator depends on the order of rows."""
+    accumulators = plan.terminal[1][-1] if plan.terminal[0] in ("$group", "$bucket", "$bucketAuto") else {}
+    ordered = {"$first", "$last", "$firstN", "$lastN", "$push", "$addToSet", "$mergeObjects", "$minN", "$maxN"}
+    return any(op in ("$sort", "$skip", "$limit") for op, _ in plan.input) or any(a.op in ordered for a in accumulators.values())
+
+
 def run(rows: Rows, plan: Pipeline) -> DataFrame:
     for op, arg in plan.input:
         rows = STAGES[op](rows, arg)
@@ -64,7 +71,7 @@ def run(rows: Rows, plan: Pipeline) -> DataFrame:
 
 
 def match(rows: Rows, f: dict) -> Rows:
-    return Rows(rows.df.where(compile_filter(rows.scope, f)), rows.order)
+    return Rows(rows.df.where(compile_filter(rows.scope, f, True)), rows.order)
 
 
 def unwind(rows: Rows, arg) -> Rows:

@@ -1,6 +1,304 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine, each with its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import Engine, numbered
+from .ship import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Tables of the folder; events with parsed properties, documents with an array of words."""
+    ship(spark)
+
+    def tables(name: str, ordered: bool) -> DataFrame:
+        path = f"{sf_dir}/{name}.parquet"
+        df = numbered(spark, path) if ordered else spark.read.parquet(path)
+        if name == "events":
+            df = df.withColumn("props", F.from_json("props", "k bigint"))
+        if name == "documents":
+            df = df.withColumn("words", F.split("text", " "))
+        return df
+
+    return Engine(spark, tables)
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(engine(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def document(name: str, table: str, doc: dict, sql: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """A query that is one document; shape turns its result into plain columns."""
+    query(name, sql)(lambda e: shape(e.find(table, doc)))
+
+
+def join(name: str, doc: dict, sql: str) -> None:
+    query(name, sql)(lambda e: e.join(doc))
+
+
+def rounded(*names: str, to: int = 4):
+    return lambda df: df.withColumns({n: F.round(n, to) for n in names})
+
+
+def texts(*names: str):
+    """Arrays as comma-joined text."""
+    return lambda df: df.withColumns({n: F.array_join(F.transform(n, lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",") for n in names})
+
+
+document(
+    "flagship", "lineitem",
+    {"filter": {"l_shipdate": {"$lte": "1998-09-02"}}, "aggregate": [
+        {"$group": {"_id": "$l_returnflag", "rows": {"$count": {}}, "qty": {"$sum": "$l_quantity"}, "avg_disc": {"$avg": "$l_discount"}}}, {"$sort": {"_id": 1}}]},
+    """SELECT l_returnflag AS "_id", count(*) AS rows, sum(l_quantity) AS qty, round(avg(l_discount), 4) AS avg_disc
+       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1""",
+    rounded("avg_disc"),
+)
+
+# -- filters, sort, projection, skip, limit ---------------------------------
+
+document(
+    "find_range_sort_limit", "orders",
+    {"filter": {"o_totalprice": {"$gte": 1000.0, "$lt": 250000.0}}, "sort": {"o_orderpriority": 1, "o_totalprice": -1}, "limit": 50, "projection": {"o_orderkey": 1, "o_orderpriority": 1, "o_totalprice": 1}},
+    """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 250000
+       ORDER BY o_orderpriority NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50""",
+)
+document(
+    "find_in_nin_ne", "customer",
+    {"filter": {"c_mktsegment": {"$in": ["BUILDING", "MACHINERY", "HOUSEHOLD"], "$ne": "MACHINERY"}, "c_nationkey": {"$nin": [1, 2, 3, 4, 5, 6]}}, "projection": {"c_custkey": 1, "c_mktsegment": 1, "c_nationkey": 1}},
+    """SELECT c_custkey, c_mktsegment, c_nationkey FROM customer
+       WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AND c_mktsegment <> 'MACHINERY' AND c_nationkey NOT IN (1, 2, 3, 4, 5, 6)""",
+)
+document(
+    "find_or_not", "customer",
+    {"filter": {"$or": [{"c_acctbal": {"$gt": 9000}}, {"$and": [{"c_mktsegment": "BUILDING"}, {"$not": {"c_nationkey": {"$lt": 20}}}]}], "c_custkey": {"$not": {"$gt": 1400}}}, "projection": {"c_custkey": 1, "c_acctbal": 1}},
+    """SELECT c_custkey, c_acctbal FROM customer WHERE (c_acctbal > 9000 OR (c_mktsegment = 'BUILDING' AND NOT c_nationkey < 20)) AND NOT c_custkey > 1400""",
+)
+document(
+    "find_exists", "supplier", {"filter": {"s_name": {"$exists": True}, "s_phone": {"$exists": False}, "s_fax": {"$ne": "x"}}, "projection": {"s_suppkey": 1}},
+    "SELECT s_suppkey FROM supplier",
+)
+document(
+    "find_skip_exclude", "part", {"sort": {"p_retailprice": -1, "p_partkey": 1}, "skip": 20, "limit": 30, "projection": {"p_name": 0, "p_type": 0}},
+    """SELECT p_partkey, p_brand, p_size, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 30 OFFSET 20""",
+)
+document(
+    "collation_lower", "part", {"sort": {"p_name": 1, "p_partkey": 1}, "collation": "unicode-lowercase", "limit": 25, "projection": {"p_partkey": 1, "p_name": 1}},
+    "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name) NULLS FIRST, p_partkey LIMIT 25",
+)
+document(
+    "collation_nfkc", "part", {"sort": {"p_brand": 1, "p_partkey": 1}, "collation": "unicode-nfkc-lowercase", "limit": 25, "projection": {"p_partkey": 1, "p_brand": 1}},
+    "SELECT p_partkey, p_brand FROM part ORDER BY lower(nfc_normalize(p_brand)) NULLS FIRST, p_partkey LIMIT 25",
+)
+document(
+    "collation_icu_ja", "nation", {"sort": {"n_name": 1}, "collation": "icu4x-2.1.1-ja", "limit": 12, "projection": {"n_nationkey": 1, "n_name": 1}},
+    "SELECT n_nationkey, n_name FROM nation ORDER BY n_name COLLATE ja NULLS FIRST, n_nationkey LIMIT 12",
+)
+
+# -- arrays and paths -------------------------------------------------------
+
+document(
+    "arr_size_all", "documents", {"filter": {"words": {"$all": ["the"]}, "lang": "en"}, "projection": {"doc_id": 1, "n_chars": 1}},
+    "SELECT doc_id, n_chars FROM documents WHERE list_contains(str_split(text, ' '), 'the') AND lang = 'en'",
+)
+document(
+    "arr_elem_match", "embeddings", {"filter": {"embedding": {"$elemMatch": {"$gt": 0.3, "$lt": 0.35}, "$size": 64}}, "projection": {"vec_id": 1}},
+    "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x > 0.3 AND x < 0.35)) > 0",
+)
+document(
+    "arr_size", "documents", {"filter": {"words": {"$size": 150}}, "projection": {"doc_id": 1}},
+    "SELECT doc_id FROM documents WHERE len(str_split(text, ' ')) = 150",
+)
+document(
+    "arr_index_path", "embeddings", {"filter": {"embedding.0": {"$gt": 0.1}}, "projection": {"vec_id": 1, "label": 1}},
+    "SELECT vec_id, label FROM embeddings WHERE embedding[1] > 0.1::FLOAT",
+)
+document(
+    "json_path", "events", {"filter": {"props.k": {"$gte": 50}, "event_type": {"$ne": "view"}}, "aggregate": [{"$group": {"_id": "$event_type", "n": {"$count": {}}, "k": {"$sum": "$props.k"}}}]},
+    """SELECT event_type AS "_id", count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events
+       WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 AND event_type <> 'view' GROUP BY 1""",
+)
+
+# -- expressions: $expr and $set --------------------------------------------
+
+document(
+    "expr_field_compare", "lineitem", {"filter": {"$expr": {"$and": [{"$gt": ["$l_partkey", "$l_suppkey"]}, {"$lte": ["$l_tax", "$l_discount"]}]}}, "aggregate": [{"$count": "n"}]},
+    "SELECT count(*) AS n FROM lineitem WHERE l_partkey > l_suppkey AND l_tax <= l_discount",
+)
+document(
+    "expr_numeric", "lineitem",
+    {"filter": {"$expr": {"$eq": [{"$mod": ["$l_orderkey", 7]}, 3]}}, "aggregate": [
+        {"$set": {"net": {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}, "half": {"$divide": ["$l_quantity", 2]}, "up": {"$ceil": "$l_extendedprice"}, "down": {"$floor": {"$abs": {"$subtract": ["$l_partkey", "$l_suppkey"]}}}}},
+        {"$group": {"_id": "$l_linestatus", "net": {"$sum": "$net"}, "half": {"$sum": "$half"}, "up": {"$sum": "$up"}, "down": {"$sum": "$down"}, "plus": {"$max": "$l_linenumber"}}}]},
+    """SELECT l_linestatus AS "_id", round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, sum(l_quantity / 2) AS half, sum(ceil(l_extendedprice)) AS up,
+       CAST(sum(abs(l_partkey - l_suppkey)) AS BIGINT) AS down, max(l_linenumber) AS plus FROM lineitem WHERE l_orderkey % 7 = 3 GROUP BY 1""",
+    rounded("net", to=2),
+)
+document(
+    "expr_cond_ifnull_let", "customer",
+    {"aggregate": [{"$set": {"tier": {"$let": {"vars": {"b": {"$ifNull": ["$c_acctbal", 0.0]}}, "in": {"$cond": {"if": {"$gte": ["$$b", 5000]}, "then": "high", "else": {"$cond": [{"$lt": ["$$b", 0]}, {"$literal": "debt"}, "low"]}}}}}}}, {"$group": {"_id": "$tier", "n": {"$count": {}}}}]},
+    """SELECT CASE WHEN coalesce(c_acctbal, 0) >= 5000 THEN 'high' WHEN coalesce(c_acctbal, 0) < 0 THEN 'debt' ELSE 'low' END AS "_id", count(*) AS n FROM customer GROUP BY 1""",
+)
+document(
+    "str_case_concat", "customer",
+    {"aggregate": [{"$set": {"tag": {"$concat": [{"$toLower": "$c_mktsegment"}, ":", {"$toUpper": {"$substrCP": ["$c_name", 0, 3]}}]}}}, {"$sortByCount": "$tag"}]},
+    """SELECT concat(lower(c_mktsegment), ':', upper(substr(c_name, 1, 3))) AS "_id", count(*) AS count FROM customer GROUP BY 1""",
+)
+document(
+    "str_len_substr_index", "part",
+    {"aggregate": [{"$set": {"n": {"$strLenCP": "$p_name"}, "head": {"$substrCP": ["$p_type", 1, 4]}, "at": {"$indexOfCP": ["$p_type", "A"]}}}, {"$group": {"_id": "$head", "n": {"$sum": "$n"}, "at": {"$sum": "$at"}}}]},
+    """SELECT substr(p_type, 2, 4) AS "_id", CAST(sum(length(p_name)) AS BIGINT) AS n, CAST(sum(instr(p_type, 'A') - 1) AS BIGINT) AS at FROM part GROUP BY 1""",
+)
+document(
+    "str_split_replace", "orders",
+    {"aggregate": [
+        {"$set": {"parts": {"$split": ["$o_orderpriority", "-"]}, "once": {"$replaceOne": {"input": "$o_orderpriority", "find": "I", "replacement": "#"}}, "all": {"$replaceAll": {"input": "$o_orderpriority", "find": "I", "replacement": "##"}}}},
+        {"$unwind": "$parts"}, {"$group": {"_id": "$parts", "n": {"$count": {}}, "once": {"$min": "$once"}, "all": {"$max": "$all"}}}]},
+    """SELECT part AS "_id", count(*) AS n, min(CASE WHEN instr(o_orderpriority, 'I') > 0 THEN concat(substr(o_orderpriority, 1, instr(o_orderpriority, 'I') - 1), '#', substr(o_orderpriority, instr(o_orderpriority, 'I') + 1)) ELSE o_orderpriority END) AS once,
+       max(replace(o_orderpriority, 'I', '##')) AS "all" FROM (SELECT o_orderpriority, unnest(str_split(o_orderpriority, '-')) AS part FROM orders) GROUP BY 1""",
+)
+document(
+    "arr_map_filter_reduce", "embeddings",
+    {"aggregate": [
+        {"$set": {"big": {"$filter": {"input": "$embedding", "as": "x", "cond": {"$gt": ["$$x", 0.1]}, "limit": 5}}, "even": {"$filter": {"input": "$embedding", "arrayIndexAs": "i", "cond": {"$eq": [{"$mod": ["$$i", 2]}, 0]}}},
+                  "sum": {"$reduce": {"input": {"$map": {"input": "$embedding", "in": {"$multiply": ["$$this", 2]}}}, "initialValue": 0.0, "in": {"$add": ["$$value", "$$this"]}}}}},
+        {"$match": {"even": {"$size": 32}}}, {"$group": {"_id": "$label", "n": {"$count": {}}, "sum": {"$sum": "$sum"}, "five": {"$sum": {"$cond": [{"$eq": [1, 1]}, 1, 0]}}}}]},
+    """SELECT label AS "_id", count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 2))), 2) AS sum, count(*) AS five FROM embeddings GROUP BY 1""",
+    rounded("sum", to=2),
+)
+
+# -- grouping ---------------------------------------------------------------
+
+document(
+    "group_sum_avg_minmax_std", "lineitem",
+    {"aggregate": [{"$group": {"_id": "$l_returnflag", "q": {"$sum": "$l_quantity"}, "a": {"$avg": "$l_extendedprice"}, "lo": {"$min": "$l_discount"}, "hi": {"$max": "$l_tax"}, "sp": {"$stdDevPop": "$l_quantity"}, "ss": {"$stdDevSamp": "$l_quantity"}}}]},
+    """SELECT l_returnflag AS "_id", sum(l_quantity) AS q, round(avg(l_extendedprice), 4) AS a, min(l_discount) AS lo, max(l_tax) AS hi, round(stddev_pop(l_quantity), 4) AS sp, round(stddev_samp(l_quantity), 4) AS ss FROM lineitem GROUP BY 1""",
+    rounded("a", "sp", "ss"),
+)
+document(
+    "group_first_last_push_set", "orders",
+    {"aggregate": [{"$sort": {"o_orderdate": -1, "o_orderkey": 1}}, {"$group": {"_id": "$o_custkey", "first": {"$first": "$o_orderkey"}, "last": {"$last": "$o_orderkey"}, "all": {"$push": "$o_orderkey"}, "states": {"$addToSet": "$o_orderstatus"}}}]},
+    """WITH s AS (SELECT o_custkey, o_orderstatus, min(rn) AS rn FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) GROUP BY 1, 2)
+       SELECT o.o_custkey AS "_id", arg_min(o_orderkey, (-epoch_us(o_orderdate), o_orderkey)) AS first, arg_max(o_orderkey, (-epoch_us(o_orderdate), o_orderkey)) AS last,
+       string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate DESC, o_orderkey) AS "all", any_value(t.states) AS states
+       FROM orders o JOIN (SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY rn) AS states FROM s GROUP BY 1) t ON o.o_custkey = t.o_custkey GROUP BY 1""",
+    texts("all", "states"),
+)
+document(
+    "group_minn_maxn_firstn", "orders",
+    {"aggregate": [{"$sort": {"o_orderkey": 1}}, {"$group": {"_id": "$o_orderpriority", "lo": {"$minN": {"input": "$o_totalprice", "n": 3}}, "hi": {"$maxN": {"input": "$o_totalprice", "n": 2}}, "head": {"$firstN": {"input": "$o_orderkey", "n": 4}}, "tail": {"$lastN": {"input": "$o_orderkey", "n": 3}}}}]},
+    """SELECT o_orderpriority AS "_id", array_to_string(list(o_totalprice::DECIMAL(18,2) ORDER BY o_totalprice)[1:3], ',') AS lo, array_to_string(list(o_totalprice::DECIMAL(18,2) ORDER BY o_totalprice DESC)[1:2], ',') AS hi,
+       array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:4], ',') AS head, array_to_string(list_reverse(list(o_orderkey ORDER BY o_orderkey DESC)[1:3]), ',') AS tail FROM orders GROUP BY 1""",
+    lambda df: texts("lo", "hi", "head", "tail")(df.withColumns({n: F.transform(n, lambda x: x.cast("decimal(18,2)")) for n in ("lo", "hi")})),
+)
+document(
+    "group_null_empty", "region", {"filter": {"r_name": "NOWHERE"}, "aggregate": [{"$group": {"_id": None, "n": {"$count": {}}, "s": {"$sum": "$r_regionkey"}, "m": {"$max": "$r_name"}}}, {"$project": {"n": 1, "s": 1, "m": 1}}]},
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS s, max(r_name) AS m FROM region WHERE r_name = 'NOWHERE'",
+)
+document(
+    "group_having_project_sort", "lineitem",
+    {"aggregate": [{"$group": {"_id": "$l_suppkey", "rev": {"$sum": "$l_extendedprice"}, "n": {"$count": {}}}}, {"$match": {"n": {"$gte": 5}}}, {"$project": {"_id": 1, "n": 1}}, {"$sort": {"n": -1, "_id": 1}}, {"$skip": 2}, {"$limit": 20}]},
+    """SELECT l_suppkey AS "_id", count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, 1 NULLS FIRST LIMIT 20 OFFSET 2""",
+)
+document(
+    "group_merge_objects", "events",
+    {"aggregate": [{"$sort": {"event_id": 1}}, {"$group": {"_id": "$user_id", "props": {"$mergeObjects": "$props"}}}]},
+    """SELECT user_id AS "_id", arg_max(CAST(json_extract(props, '$.k') AS BIGINT), event_id) AS k FROM events WHERE props IS NOT NULL GROUP BY 1""",
+    lambda df: df.select("_id", F.col("props.k").alias("k")),
+)
+document(
+    "unwind_index", "embeddings", {"aggregate": [{"$unwind": {"path": "$embedding", "includeArrayIndex": "i"}}, {"$group": {"_id": "$i", "n": {"$count": {}}, "hi": {"$max": "$embedding"}}}]},
+    """SELECT i - 1 AS "_id", count(*) AS n, max(x) AS hi FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1""",
+)
+query("unwind_preserve", "SELECT count(*) AS n, count(CASE WHEN lang = 'en' THEN 1 END) AS with_word FROM (SELECT lang, unnest(CASE WHEN lang = 'en' THEN str_split(text, ' ') ELSE [NULL] END) AS w FROM documents)")(
+    lambda e: e.find(
+        e.table("documents", True).withColumn("w", F.when(F.col("lang") == "en", F.col("words"))),
+        {"aggregate": [{"$unwind": {"path": "$w", "preserveNullAndEmptyArrays": True}}, {"$set": {"one": {"$cond": [{"$eq": ["$w", None]}, 0, 1]}}}, {"$group": {"_id": None, "n": {"$count": {}}, "with_word": {"$sum": "$one"}}}, {"$project": {"n": 1, "with_word": 1}}]},
+    )
+)
+document(
+    "bucket_default", "customer", {"aggregate": [{"$bucket": {"groupBy": "$c_acctbal", "boundaries": [0, 1000, 5000, 8000], "default": -1, "output": {"n": {"$count": {}}, "top": {"$max": "$c_acctbal"}}}}]},
+    """SELECT CAST(CASE WHEN c_acctbal >= 0 AND c_acctbal < 1000 THEN 0 WHEN c_acctbal >= 1000 AND c_acctbal < 5000 THEN 1000 WHEN c_acctbal >= 5000 AND c_acctbal < 8000 THEN 5000 ELSE -1 END AS BIGINT) AS "_id", count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1""",
+)
+document(
+    "bucket_auto", "part", {"aggregate": [{"$bucketAuto": {"groupBy": "$p_size", "buckets": 7, "output": {"n": {"$count": {}}}}}]},
+    """WITH d AS (SELECT p_size, dense_rank() OVER (ORDER BY p_size) - 1 AS r FROM (SELECT DISTINCT p_size FROM part)), u AS (SELECT count(*) AS u FROM d),
+       b AS (SELECT p_size, CAST(floor(((r + 1) * least(7, u) - 1) / u) AS INTEGER) AS b FROM d, u), e AS (SELECT b, min(p_size) AS lo, max(p_size) AS hi FROM b GROUP BY b)
+       SELECT e.lo AS min, coalesce(n.lo, e.hi) AS max, count(*) AS n FROM part JOIN b ON part.p_size = b.p_size JOIN e ON b.b = e.b LEFT JOIN e n ON n.b = e.b + 1 GROUP BY 1, 2""",
+    lambda df: df.select(F.col("_id.min").alias("min"), F.col("_id.max").alias("max"), "n"),
+)
+document("sort_by_count", "events", {"aggregate": [{"$sortByCount": "$event_type"}]}, """SELECT event_type AS "_id", count(*) AS count FROM events GROUP BY 1""")
+document("count_stage", "orders", {"filter": {"o_orderstatus": "F"}, "aggregate": [{"$count": "n"}]}, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+document("distinct_stage", "orders", {"aggregate": [{"$distinct": "$o_orderpriority"}]}, "SELECT DISTINCT o_orderpriority AS value FROM orders")
+document(
+    "input_sort_skip_limit", "orders", {"aggregate": [{"$match": {"o_orderstatus": {"$in": ["F", "O"]}}}, {"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$skip": 10}, {"$limit": 100}, {"$project": {"o_orderstatus": 1, "o_totalprice": 1}}, {"$group": {"_id": "$o_orderstatus", "n": {"$count": {}}, "s": {"$sum": "$o_totalprice"}}}]},
+    """SELECT o_orderstatus AS "_id", count(*) AS n, round(sum(o_totalprice), 2) AS s FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O') ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 10) GROUP BY 1""",
+    rounded("s", to=2),
+)
+
+# -- joins ------------------------------------------------------------------
+
+
+def on(left: str, right: str) -> dict:
+    return {left: {"$eq": {"$field": right}}}
+
+
+CUSTOMER_ORDERS = on("customer.c_custkey", "orders.o_custkey")
+join(
+    "join_inner", {"from": "customer", "join": {"table": "orders", "type": "inner", "on": CUSTOMER_ORDERS}, "filter": {"orders.o_totalprice": {"$gt": 200000}, "customer.c_mktsegment": "BUILDING"}, "projection": {"customer.c_custkey": 1, "orders.o_orderkey": 1}},
+    """SELECT c_custkey AS "customer.c_custkey", o_orderkey AS "orders.o_orderkey" FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 200000 AND c_mktsegment = 'BUILDING'""",
+)
+for _kind in ("left", "right", "full"):
+    join(
+        f"join_{_kind}", {"from": "supplier", "join": {"table": "customer", "type": _kind, "on": on("supplier.s_suppkey", "customer.c_custkey") | on("supplier.s_nationkey", "customer.c_nationkey")}, "projection": {"supplier.s_suppkey": 1, "customer.c_custkey": 1}},
+        f"""SELECT s_suppkey AS "supplier.s_suppkey", c_custkey AS "customer.c_custkey" FROM supplier {_kind.upper()} JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey""",
+    )
+for _kind in ("semi", "anti"):
+    join(
+        f"join_{_kind}", {"from": "customer", "join": {"table": "supplier", "type": _kind, "on": on("customer.c_custkey", "supplier.s_suppkey")}, "projection": {"customer.c_custkey": 1, "customer.c_acctbal": 1}},
+        f"""SELECT c_custkey AS "customer.c_custkey", c_acctbal AS "customer.c_acctbal" FROM customer {_kind.upper()} JOIN supplier ON c_custkey = s_suppkey""",
+    )
+join(
+    "join_cross", {"from": "region", "join": {"table": "nation", "type": "cross"}, "filter": {"$expr": {"$lt": ["$region.r_regionkey", "$nation.n_regionkey"]}}, "projection": {"region.r_name": 1, "nation.n_name": 1}},
+    """SELECT r_name AS "region.r_name", n_name AS "nation.n_name" FROM region CROSS JOIN nation WHERE r_regionkey < n_regionkey""",
+)
+join(
+    "join_chain4",
+    {"from": "nation", "join": {"table": "customer", "type": "inner", "on": on("nation.n_nationkey", "customer.c_nationkey")}, "joins": [{"table": "orders", "type": "inner", "on": CUSTOMER_ORDERS}, {"table": "lineitem", "type": "left", "on": on("orders.o_orderkey", "lineitem.l_orderkey")}],
+     "filter": {"nation.n_regionkey": 2, "orders.o_totalprice": {"$gte": 100000}, "lineitem.l_quantity": {"$gt": 45}}, "projection": {"nation.n_name": 1, "orders.o_orderkey": 1, "lineitem.l_linenumber": 1, "lineitem.l_quantity": 1}},
+    """SELECT n_name AS "nation.n_name", o_orderkey AS "orders.o_orderkey", l_linenumber AS "lineitem.l_linenumber", l_quantity AS "lineitem.l_quantity" FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey
+       LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE n_regionkey = 2 AND o_totalprice >= 100000 AND l_quantity > 45""",
+)
+join(
+    "join_missing_semantics", {"from": "customer", "join": {"table": "supplier", "type": "left", "on": on("customer.c_custkey", "supplier.s_suppkey")}, "filter": {"supplier.s_suppkey": {"$exists": False}, "supplier.s_acctbal": {"$ne": 5}}, "projection": {"customer.c_custkey": 1}},
+    """SELECT c_custkey AS "customer.c_custkey" FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey WHERE s_suppkey IS NULL""",
+)
+query("join_null_isnt_missing", "SELECT count(*) AS n FROM customer WHERE 1 = 0")(
+    lambda e: e.join({"from": "customer", "join": {"table": "supplier", "type": "left", "on": on("customer.c_custkey", "supplier.s_suppkey")}, "filter": {"supplier.s_suppkey": None}}).agg(F.count(F.lit(1)).alias("n"))
+)
+
+# -- pages ------------------------------------------------------------------
+
+
+def second_page(e: Engine, doc: dict) -> DataFrame:
+    return e.find("orders", doc | {"cursor": e.page("orders", doc).cursor})
+
+
+query("page_keyset_sorted", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 40")(
+    lambda e: second_page(e, {"sort": {"o_totalprice": -1, "o_orderkey": 1}, "page_size": 40, "projection": {"o_orderkey": 1, "o_totalprice": 1}})
+)
+query("page_physical", "SELECT o_orderkey FROM (SELECT o_orderkey, file_row_number AS r FROM (SELECT *, row_number() OVER () - 1 AS file_row_number FROM orders)) WHERE r >= 40 AND r < 80")(
+    lambda e: second_page(e, {"page_size": 40, "projection": {"o_orderkey": 1}})
+)
