@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..ship import ship
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,9 +46,14 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: survives the loss of any executor."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the shuffles behind a written table aren't read again
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:

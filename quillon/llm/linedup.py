@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import groups
-from .neardup import MOST_BROADCAST, OVER, SHINGLE_WORDS, UNDER, in_blocks, set_keys, two_blocks, verified
-from .textops import U64, flat, shingles_of, sliced, words_of
+from .neardup import OVER, SHINGLE_WORDS, UNDER, in_blocks, set_keys, two_blocks, verified
+from .textops import U64, distinct_pairs, flat, mix, shingles_of, sliced, words_of
 
 COUNT_BITS = 16
 LEVEL_SHIFT = U64(58)
 BLOCK = 512
+SENT_SHIFT = U64(16)  # of a token's 64 bits, 48 are sent for verifying; buckets and set keys use all
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,11 +75,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple
     """(line, token) of all lines, sorted, without repeats."""
     row, h = shingles_of(words_of(data, offsets), SHINGLE_WORDS, distinct=False)
     token = (level[(h >> U64(64 - COUNT_BITS)).astype(np.int64)] << LEVEL_SHIFT) | (h & U64((1 << 58) - 1))
-    order = np.lexsort((token, row))
-    row, token = row[order], token[order]
-    keep = np.ones(len(token), bool)
-    keep[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-    return row[keep], token[keep]
+    return distinct_pairs(row, token)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -119,18 +116,44 @@ def lines(docs: DataFrame, level: np.ndarray, key: str, text: str) -> DataFrame:
 
 def members(found: DataFrame, sets: DataFrame) -> DataFrame:
     """Sets of the buckets to be compared: token, size, rep (k1), k2, doc, line."""
-    slots = found.where("line >= 0").select(F.col("k1").alias("rep"), F.explode("prefix").alias("token"))
-    slots = slots.distinct()
-    buckets = slots.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("size > 1")
-    once = buckets.groupBy("size", "x").agg(F.min("token").alias("token")).drop("x")
-    return slots.join(once, "token").join(sets.withColumnRenamed("k1", "rep"), "rep")
+    schema = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("x", pa.int64())])
+
+    def run(batches):
+        """Rows of tokens that two sets or more have, from rows sorted by token and set; x is a sum of the bucket's members."""
+        token, rep = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            token, rep = np.concatenate([token, b.column("token").to_numpy()]), np.concatenate([rep, b.column("rep").to_numpy()])
+            done = int(np.searchsorted(token == token[-1], True)) if len(token) else 0  # the last token may go on
+            yield from full(token[:done], rep[:done])
+            token, rep = token[done:], rep[done:]
+        yield from full(token, rep)
+
+    def full(token, rep):
+        if not len(token):
+            return
+        keep = np.ones(len(token), bool)
+        keep[1:] = (token[1:] != token[:-1]) | (rep[1:] != rep[:-1])
+        token, rep = token[keep], rep[keep]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(start, len(token)))
+        x = np.add.reduceat(mix(rep.view(np.uint64)), start).view(np.int64)
+        size, x = np.repeat(size, size), np.repeat(x, size)
+        many = size > 1
+        yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(rep[many]), pa.array(size[many]), pa.array(x[many])], schema=schema)
+
+    # one exchange of the prefixes; sets that share no token with another leave here
+    slots = found.where("line >= 0").select(F.explode("prefix").alias("token"), F.col("k1").alias("rep"))
+    shared = written(slots.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(run, "token long, rep long, size long, x long"), "line-slots")
+    once = shared.groupBy("size", "x").agg(F.min("token").alias("token"))
+    return shared.join(once, ["size", "x", "token"]).drop("x").join(sets.withColumnRenamed("k1", "rep"), "rep")
 
 
 def with_tokens(docs: DataFrame, chosen: DataFrame, level: np.ndarray, key: str, text: str) -> DataFrame:
     """rep, k2, doc, line, tokens of the chosen sets, from their first lines."""
     of_doc = chosen.select("rep", "k2", "doc", "line").distinct().groupBy("doc").agg(F.collect_list(F.struct("line", "rep", "k2")).alias("wanted"))
-    small = of_doc.limit(MOST_BROADCAST // 4 + 1).count() <= MOST_BROADCAST // 4
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(F.broadcast(of_doc) if small else of_doc, "doc")
+    # by shuffle at every size: most documents hold some such line
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(of_doc.hint("merge"), "doc")
+    schema = pa.schema([("rep", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
         for part in sliced(batches):
@@ -138,22 +161,42 @@ def with_tokens(docs: DataFrame, chosen: DataFrame, level: np.ndarray, key: str,
             if not len(data):
                 continue
             at, doc, number = line_offsets(data, offsets)
-            line, token = tokens_of(data, at, level)
-            begin = np.searchsorted(line, np.arange(len(at)))
-            first = np.searchsorted(doc, np.arange(part.num_rows))
-            out = []
-            for row, wanted in enumerate(part.column("wanted").to_pylist()):
-                for w in wanted:
-                    x = int(first[row]) + w["line"]
-                    if x < len(doc) and doc[x] == row and begin[x + 1] > begin[x]:
-                        own = token[begin[x] : begin[x + 1]]
-                        k1, k2 = set_keys(own, np.zeros(1, np.int64))
-                        if (k1[0], k2[0]) == (w["rep"], w["k2"]):
-                            out.append((w["rep"], w["k2"], part.column("doc")[row].as_py(), w["line"], own.view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], pa.int64()) for i in range(4)), pa.array([o[4] for o in out], pa.list_(pa.int64()))], names=["rep", "k2", "doc", "line", "tokens"])
-
-    return rows.select("doc", "text", "wanted").mapInArrow(run, "rep long, k2 long, doc long, line long, tokens array<long>").dropDuplicates(["rep", "k2"])
+            wanted = part.column("wanted")
+            each, row = wanted.flatten(), np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+            line, rep, k2 = (each.field(n).to_numpy() for n in ("line", "rep", "k2"))
+            first = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            there = line < (first[1:] - first[:-1])[row]  # false for other rows of the same id
+            line, rep, k2, row = line[there], rep[there], k2[there], row[there]
+            x = first[row] + line
+            # only the wanted lines are cut into tokens
+            length = at[x + 1] - at[x]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            own = data[np.arange(ends[-1]) + np.repeat(at[x] - ends[:-1], length)]
+            of, token = tokens_of(own, ends, level)
+            full, starts = np.unique(of, return_index=True)
+            if not len(full):
+                continue
+            a, b = set_keys(token, starts)
+            right = np.zeros(len(x), bool)
+            right[full] = (a == rep[full]) & (b == k2[full])
+            ends = np.searchsorted(of, np.arange(len(x) + 1)).tolist()
+            raw = sent(token)
+            lists = pa.array([raw[6 * lo : 6 * hi] for lo, hi in zip(ends, ends[1:])], pa.binary())
+            ids = part.column("doc").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(k2), pa.array(ids[row]), pa.array(line), lists], schema=schema).filter(pa.array(right))
+
+    return rows.select("doc", "text", "wanted").mapInArrow(run, "rep long, k2 long, doc long, line long, tokens binary")
+
+
+def sent(token: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted tokens, six bytes each."""
+    return (token >> SENT_SHIFT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def received(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def later_matches(rows: DataFrame) -> DataFrame:
@@ -167,11 +210,11 @@ def later_matches(rows: DataFrame) -> DataFrame:
                 continue
             doc, line = t.column("doc").to_numpy(), t.column("line").to_numpy()
             token = t.column("token")[0].as_py()
-            sets = [x.values.to_numpy().view(np.uint64) for c in t.column("tokens").chunks for x in c]
+            sets = [received(x) for x in t.column("tokens").to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
-            place = np.array([np.searchsorted(s, U64(token & (2**64 - 1))) for s in sets], np.int64)
+            place = np.array([np.searchsorted(s, U64(token & (2**64 - 1)) >> SENT_SHIFT) for s in sets], np.int64)
             a, b = two_blocks(t)
-            own = not len(b)
+            own = b is None
             b = a if own else b
             x, y = n[a][:, None], n[b][None, :]
             fits = np.minimum(x, y) * UNDER >= np.maximum(x, y) * OVER
@@ -183,6 +226,7 @@ def later_matches(rows: DataFrame) -> DataFrame:
             i, j = a[i], b[j]
             if len(i):
                 good = verified(sets, i, j)
+                good &= (doc[i] != doc[j]) | (line[i] != line[j])
                 i, j = i[good], j[good]
                 late = np.unique(np.where((doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j])), j, i))
                 if len(late):
@@ -205,7 +249,8 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     sets = found.where("line >= 0").groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     sets = written(sets, "line-sets")
     chosen = written(members(found, sets), "line-buckets")
-    rows = chosen.select("token", "size", "rep", "k2").join(with_tokens(docs, chosen, level, key, text), ["rep", "k2"])
+    tokens = written(with_tokens(docs, chosen, level, key, text), "line-tokens")
+    rows = chosen.select("token", "size", "rep", "k2").join(tokens, ["rep", "k2"])
     late = written(later_matches(rows), "later-lines")
     kept = sets.join(late, ["k1", "k2"], "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("kept"))
     each = found.where("line = -1").select("doc", F.col("n").alias("n_lines"))

@@ -138,8 +138,20 @@ def shingles_of(words: Words, k: int = 5, distinct: bool = True) -> tuple[np.nda
     row, h = np.concatenate(parts_row), mix(np.concatenate(parts_hash))
     if not distinct:
         return row, h
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+    return distinct_pairs(row, h)
+
+
+def distinct_pairs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (row, h), sorted by both. One sort of single integers: the row above the high bits of h."""
+    if not len(row):
+        return row, h
+    bits = U64(max(1, int(row.max()).bit_length()))
+    packed = (row.astype(U64) << (U64(64) - bits)) | (h >> bits)
+    order = np.argsort(packed)
+    packed, row, h = packed[order], row[order], h[order]
+    if ((packed[1:] == packed[:-1]) & (h[1:] < h[:-1])).any():  # equal but for the low bits
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     return row[keep], h[keep]
