@@ -208,20 +208,20 @@ def in_blocks(rows: DataFrame, n: str, size: int) -> DataFrame:
     return rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("parts", "other")
 
 
-def two_blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the two blocks of a group; the second is empty where the group compares one block with itself."""
+def two_blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
+    """Row numbers of the two blocks of a group; the second is None where the group compares one block with itself."""
     own, bi, bj = (t.column(n).to_numpy() for n in ("own", "bi", "bj"))
-    return (np.arange(len(own)), np.zeros(0, np.int64)) if bi[0] == bj[0] else (np.flatnonzero(own == bi[0]), np.flatnonzero(own == bj[0]))
+    return (np.arange(len(own)), None) if bi[0] == bj[0] else (np.flatnonzero(own == bi[0]), np.flatnonzero(own == bj[0]))
 
 
 def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Surviving pairs of a group, as row numbers."""
     sig = unpacked(bands_of(t))
     a, b = two_blocks(t)
-    if len(b):
-        i, j = surviving(sig[a], sig[b])
-        return a[i], b[j]
-    return surviving(sig, None)
+    if b is None:
+        return surviving(sig, None)
+    i, j = surviving(sig[a], sig[b])
+    return a[i], b[j]
 
 
 def bands_of(t: pa.Table) -> np.ndarray:
