@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -302,3 +304,166 @@ query("page_keyset_sorted", "SELECT o_orderkey, o_totalprice FROM orders ORDER B
 query("page_physical", "SELECT o_orderkey FROM (SELECT o_orderkey, file_row_number AS r FROM (SELECT *, row_number() OVER () - 1 AS file_row_number FROM orders)) WHERE r >= 40 AND r < 80")(
     lambda e: second_page(e, {"page_size": 40, "projection": {"o_orderkey": 1}})
 )
+
+
+# -- versions, changes and constraints ---------------------------------------
+
+
+def _raised(e: Engine) -> tuple[DataFrame, DataFrame]:
+    """Two versions of customer: balances of nation 3 raised, nation 4 gone, and new rows."""
+    before = e.table("customer").withColumn("_record_number", F.col("c_custkey") + 1)
+    after = before.where("c_nationkey <> 4").withColumn("c_acctbal", F.when(F.col("c_nationkey") == 3, F.col("c_acctbal") + 10).otherwise(F.col("c_acctbal")))
+    new = before.where("c_custkey < 5").withColumn("_record_number", F.col("_record_number") + 10_000_000)
+    return before, after.unionByName(new)
+
+
+@query(
+    "cdc_diff",
+    """WITH b AS (SELECT c_custkey + 1 AS r, * FROM customer), a AS (SELECT c_custkey + 1 AS r, c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 3 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey <> 4
+         UNION ALL SELECT c_custkey + 10000001, * FROM customer WHERE c_custkey < 5)
+       SELECT coalesce(b.r, a.r) AS record_number, b.r IS NULL AS inserted, a.r IS NULL AS removed FROM b FULL JOIN a ON b.r = a.r
+       WHERE b.r IS NULL OR a.r IS NULL OR b.c_acctbal IS DISTINCT FROM a.c_acctbal""",
+)
+def _cdc_diff(e: Engine) -> DataFrame:
+    from .store import changes
+
+    before, after = _raised(e)
+    return changes(before, after, False).select("record_number", F.col("before").isNull().alias("inserted"), F.col("after").isNull().alias("removed"))
+
+
+def _scratch(e: Engine) -> str:
+    base = e.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-store-")
+    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+@query("time_travel", """SELECT 1 AS txn, count(*) AS n, round(sum(s_acctbal), 2) AS balance FROM supplier UNION ALL SELECT 2, count(*), round(sum(s_acctbal) + 500, 2) FROM supplier""")
+def _time_travel(e: Engine) -> DataFrame:
+    from .store import Store
+
+    store = Store(e.spark, _scratch(e))
+    store.create(e.table("supplier"))
+    t = store.begin()
+    t.patch(2, {"$inc": {"s_acctbal": 500.0}})
+    t.commit()
+    each = [store.read(v).agg(F.lit(v).alias("txn"), F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance")) for v in (1, 2)]
+    return each[0].union(each[1])
+
+
+@query("store_delete_pack", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS record_number FROM supplier WHERE s_nationkey >= 10")
+def _store_delete_pack(e: Engine) -> DataFrame:
+    from .store import Store
+
+    store = Store(e.spark, _scratch(e))
+    store.create(e.table("supplier"))
+    t = store.begin()
+    t.delete_where({"s_nationkey": {"$lt": 10}})
+    t.commit()
+    store.pack()
+    return store.read().select("s_suppkey", F.col("_record_number").alias("record_number"))
+
+
+@query("store_row_merge", "SELECT s_suppkey, CASE WHEN s_suppkey = 0 THEN 'ours' WHEN s_suppkey = 1 THEN 'theirs' ELSE s_name END AS s_name FROM supplier")
+def _store_row_merge(e: Engine) -> DataFrame:
+    from .store import Store
+
+    store = Store(e.spark, _scratch(e))
+    store.create(e.table("supplier"))
+    ours, theirs = store.begin(), store.begin()
+    ours.patch(1, {"s_name": "ours"})
+    theirs.patch(2, {"s_name": "theirs"})
+    theirs.commit()
+    ours.commit(merge=True)
+    return store.read().select("s_suppkey", "s_name")
+
+
+@query("constraint_fk", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7)")
+def _constraint_fk(e: Engine) -> DataFrame:
+    from .constraints import orphans
+
+    return orphans(e.table("orders"), e.find("customer", {"filter": {"c_nationkey": {"$ne": 7}}}), ["o_custkey"], ["c_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("constraint_unique", "SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def _constraint_unique(e: Engine) -> DataFrame:
+    from .constraints import repeated_keys
+
+    return repeated_keys(e.table("orders"), ["o_custkey", "o_orderstatus"])
+
+
+@query("constraint_check", "SELECT c_custkey FROM customer WHERE NOT (c_acctbal >= 0 OR c_mktsegment = 'BUILDING')")
+def _constraint_check(e: Engine) -> DataFrame:
+    from .constraints import failing_check
+
+    return failing_check(e.table("customer"), {"$or": [{"c_acctbal": {"$gte": 0}}, {"c_mktsegment": "BUILDING"}]}).select("c_custkey")
+
+
+@query("constraint_cascade", "SELECT n_nationkey, n_regionkey = 2 AS deleted, CASE WHEN n_regionkey = 1 THEN 101 ELSE n_regionkey END AS n_regionkey FROM nation")
+def _constraint_cascade(e: Engine) -> DataFrame:
+    from .constraints import ForeignKey, propagate
+
+    region = e.table("region").withColumns({"_record_number": F.col("r_regionkey") + 1, "_deleted": F.lit(False)})
+    nation = e.table("nation").withColumns({"_record_number": F.col("n_nationkey") + 1, "_deleted": F.lit(False)})
+    after = region.withColumns({"_deleted": F.col("r_regionkey") == 2, "r_regionkey": F.when(F.col("r_regionkey") == 1, 101).otherwise(F.col("r_regionkey"))})
+    key = ForeignKey(("n_regionkey",), "region", ("r_regionkey",), "cascade", "cascade")
+    return propagate(region, after, {"nation": (nation, key)})["nation"].select("n_nationkey", F.col("_deleted").alias("deleted"), F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+# -- files --------------------------------------------------------------------
+
+
+@query("dbf_round_trip", "SELECT s_suppkey AS suppkey, s_name AS name, s_nationkey AS nation, round(s_acctbal, 2) AS acctbal FROM supplier")
+def _dbf_round_trip(e: Engine) -> DataFrame:
+    """Written as one DBF file and read back in ranges of records; the file is local, as its writer is the driver."""
+    from .sources import dbf
+
+    dbf.register(e.spark)
+    path = tempfile.mkdtemp(prefix="quillon-dbf-") + "/supplier.dbf"
+    dbf.write_dbf(e.table("supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("acctbal")), path)
+    return e.spark.read.format("dbf").option("rows", 40).load(path).select("suppkey", "name", F.col("nation").cast("int").alias("nation"), F.round("acctbal", 2).alias("acctbal"))
+
+
+@query("xbf_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey < 40")
+def _xbf_round_trip(e: Engine) -> DataFrame:
+    from .sources import xbf
+
+    xbf.register(e.spark)
+    path = tempfile.mkdtemp(prefix="quillon-xbf-") + "/orders.xbf"
+    xbf.write_xbf(e.find("orders", {"filter": {"o_custkey": {"$lt": 40}}, "projection": {"o_orderkey": 1, "o_orderstatus": 1, "o_totalprice": 1}}), path)
+    return e.spark.read.format("xbf").option("rows", 100).load(path).drop("_record_number", "_deleted")
+
+
+@query("xbf_representable", "SELECT 'p_name' AS column, 'trailing blanks' AS reason, count(*) AS n FROM part UNION ALL SELECT 'p_retailprice_in_full', 'name longer than 10 bytes', count(*) FROM part")
+def _xbf_representable(e: Engine) -> DataFrame:
+    from .sources import xbf
+
+    return xbf.representable(e.table("part").select(F.concat("p_name", F.lit(" ")).alias("p_name"), F.round("p_retailprice", 2).alias("p_retailprice_in_full")))
+
+
+@query("json_interpreter", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 90")
+def _json_interpreter(e: Engine) -> DataFrame:
+    """Filter and projection over JSON text by the row interpreter, for rows of mixed types."""
+    from .interpreter import find_json
+
+    rows = e.table("events").select(F.to_json(F.struct("event_id", "props")).alias("v"))
+    out = find_json(rows, "v", {"filter": {"props.k": {"$gte": 90}}, "projection": {"event_id": 1}})
+    return out.select(F.from_json("value", "event_id bigint")["event_id"].alias("event_id"))
+
+
+@query("cdc_stream", "SELECT 1 AS txn, 'insert' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 2, 'update', 1 UNION ALL SELECT 3, 'insert', 2")
+def _cdc_stream(e: Engine) -> DataFrame:
+    """The change log read as a stream and counted."""
+    from .store import Store
+    from .streaming.cdc import change_counts, change_stream
+
+    store = Store(e.spark, _scratch(e))
+    store.create(e.table("supplier"))
+    t = store.begin()
+    t.patch(3, {"s_name": "new"})
+    t.commit()
+    t = store.begin()
+    t.insert([{"s_suppkey": 900001}, {"s_suppkey": 900002}])
+    t.commit()
+    name = f"cdc_{uuid.uuid4().hex}"
+    q = change_counts(change_stream(e.spark, store.folder)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return e.spark.table(name).select(F.col("txn").cast("int").alias("txn"), "kind", "n")
