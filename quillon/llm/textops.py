@@ -117,7 +117,7 @@ def shingles_of(words: Words, k: int = 5, distinct: bool = True) -> tuple[np.nda
     n = len(words.hash)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    odd = [U64((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1)) for j in range(k)]
+    odd = mix(np.arange(1, k + 1, dtype=U64)) | U64(1)  # unrelated weights: with related ones, repeated words collide
     parts_row, parts_hash = [], []
     if n >= k:
         h = words.hash[: n - k + 1] * odd[0]
