@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary, bpe, decontaminate, linedup, neardup, pii, secrets_scan, substring, toxicity
+from . import ann, binary, bpe, decontaminate, linedup, neardup, oracle, pii, secrets_scan, substring, toxicity
 from .common import table
 
 
@@ -70,4 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_wavelet": op10_wavelet,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: For the others no SQL can give the rows: they tokenise, learn, search approximately, encrypt, or report places of regex matches.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracle.DECONTAMINATION,
+    "op2_jaccard": oracle.JACCARD,
+    "op7_substrings": oracle.SUBSTRINGS,
+    "op8_lines": oracle.LINES,
+}
