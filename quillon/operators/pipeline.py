@@ -22,6 +22,7 @@ from .projection import project, quoted
 from .values import ARRAY, NULL, NUMBER, OBJECT, Value, resolve
 
 RECORD = "_record_number"
+MOST_CASES = 64  # buckets spelled out as cases; more are looked up in an array
 
 
 @dataclass
@@ -213,8 +214,11 @@ class Aggregates:
             df = df.where(F.col("__v").isNotNull())
         by = {"$minN": [F.col("__v").asc(), F.col("__o").asc()], "$maxN": [F.col("__v").desc(), F.col("__o").asc()], "$firstN": [F.col("__o").asc()], "$lastN": [F.col("__o").desc()]}[a.op]
         n = self.value(a.n).column.cast("int")
-        w = W.partitionBy(*(["__id"] if self.keyed else [F.lit(0)])).orderBy(*by)
-        ranked = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+        if self.keyed:
+            ranked = df.withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy(*by))).where(F.col("__r") <= n)
+        else:
+            # n is a constant here; each task keeps n rows, and only those meet in one
+            ranked = df.orderBy(*by).limit(a.n.value).withColumn("__r", F.row_number().over(W.orderBy(*by)))
         items = F.array_sort(F.collect_list(F.struct("__r", "__v")))
         if a.op == "$lastN":
             items = F.reverse(items)
@@ -242,7 +246,13 @@ def bucket(rows: Rows, arg) -> DataFrame:
     shown = (lambda x: F.lit(str(x))) if mixed else (lambda x: F.lit(x).cast(kind))
     out = F.when(F.lit(False), shown(bounds[0]))
     place = F.when(F.lit(False), F.lit(0))
-    if v.kind == NUMBER:
+    if v.kind == NUMBER and len(bounds) > MOST_CASES:
+        edges = F.array(*(F.lit(b).cast(kind if whole else "double") for b in bounds))
+        at = F.size(F.filter(edges, lambda b: b <= v.column))
+        inside = (at > 0) & (at < len(bounds))
+        found = F.get(edges, at - 1)
+        out, place = out.when(inside, found.cast("string") if mixed else found.cast(kind)), place.when(inside, at - 1)
+    elif v.kind == NUMBER:
         for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
             inside = (v.column >= lo) & (v.column < hi)
             out, place = out.when(inside, shown(lo)), place.when(inside, F.lit(i))

@@ -131,6 +131,11 @@ def test_unwind_and_buckets(spark):
         got = [r["count"] for r in e.find(df, {"aggregate": [{"$bucketAuto": {"groupBy": "$v", "buckets": b}}]}).collect()]
         m = min(u, b)
         assert sum(got) == u and len(got) == m and max(got) - min(got) <= 1
+    edges = list(range(0, 300, 3))
+    many = e.find(spark.range(400), {"aggregate": [{"$bucket": {"groupBy": "$id", "boundaries": edges, "default": "rest"}}]}).collect()
+    assert [(r["_id"], r["count"]) for r in many] == [(str(x), 3) for x in edges[:-1]] + [("rest", 103)]
+    few = e.find(spark.range(400), {"aggregate": [{"$group": {"_id": None, "lo": {"$minN": {"input": "$id", "n": 3}}, "hi": {"$maxN": {"input": "$id", "n": 2}}}}]}).first()
+    assert few.lo == [0, 1, 2] and few.hi == [399, 398]
     with pytest.raises(Exception, match="outside the boundaries"):
         e.find(ages, {"aggregate": [{"$bucket": {"groupBy": "$AGE", "boundaries": [0, 10]}}]}).collect()
 
@@ -174,6 +179,19 @@ def test_streams_and_explain(engine):
     assert "Filter" in engine.explain("users", {"filter": {"AGE": 29}})["plan"]
 
 
+def test_record_numbers_of_many_files(spark, tmp_path):
+    spark.range(90).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    e = Engine.of_parquet(spark, str(tmp_path))
+    rows = e.table("t", True).collect()
+    numbers = [r["_record_number"] for r in rows]
+    assert len(set(numbers)) == 90 and None not in numbers and len({n >> 40 for n in numbers}) == 3
+    p, seen = None, []
+    for _ in range(3):
+        p = e.page("t", {"page_size": 30} | ({"cursor": p.cursor} if p else {}))
+        seen += [r.id for r in p.records]
+    assert sorted(seen) == list(range(90)) and p.cursor is None
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id", "id * 2 AS v", "'x' AS unused").write.parquet(str(tmp_path / "t.parquet"))
     e = Engine.of_parquet(spark, str(tmp_path))
