@@ -14,8 +14,14 @@ from ..ship import ship
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Batches between the JVM and Python are kept to some MB, unless the session says otherwise."""
     ship(spark)
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # the default
+        spark.conf.set(BATCH_BYTES, "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,8 +50,13 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: survives the loss of any executor."""
+def written(df: DataFrame, what: str, codec: str = "zstd", files: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: survives the loss of any executor.
+
+    files: their number at most, from file_count(). Many small files cost more than
+    their bytes: each takes several calls to the file system, and on local ones processes.
+    """
+    df = df.coalesce(files) if files is not None else df
     spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # the shuffles behind a written table aren't read again
@@ -56,6 +67,15 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FILE_BYTES = 64 << 20
+MOST_FILES = 10_000_000
+
+
+def file_count(source: DataFrame) -> int:
+    """Files for a table made from a source: by the source's size, and two for each core at least. A source of unknown size counts as huge."""
+    return min(MOST_FILES, max(2 * source.sparkSession.sparkContext.defaultParallelism, -(-plan_bytes(source) // FILE_BYTES)))
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Remove a scratch table through the file system that owns it."""
     jvm = spark.sparkContext._jvm

@@ -23,16 +23,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component) for every node of edges (a, b); component is the least node. Each round is written to the shared folder."""
-    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+def components(edges: DataFrame, files: int | None = None, most_rounds: int = 50) -> DataFrame:
+    """(node, component) for every node of edges (a, b); component is the least node. Each round is written to the shared folder, in so many files at most."""
+    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges", files=files)
     seen = None
     for _ in range(most_rounds):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
-        now = written(_star(_star(now, True), False), "edges")
+        now = written(_star(_star(now, True), False), "edges", files=files)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import file_count, written
 from .components import groups
 from .neardup import OVER, SHINGLE_WORDS, UNDER, in_blocks, set_keys, two_blocks, verified
 from .textops import U64, distinct_pairs, flat, mix, shingles_of, sliced, words_of
@@ -114,7 +114,7 @@ def lines(docs: DataFrame, level: np.ndarray, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, line long, n long, k1 long, k2 long, prefix array<long>")
 
 
-def members(found: DataFrame, sets: DataFrame) -> DataFrame:
+def members(found: DataFrame, sets: DataFrame, files: int | None = None) -> DataFrame:
     """Sets of the buckets to be compared: token, size, rep (k1), k2, doc, line."""
     schema = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("x", pa.int64())])
 
@@ -143,7 +143,7 @@ def members(found: DataFrame, sets: DataFrame) -> DataFrame:
 
     # one exchange of the prefixes; sets that share no token with another leave here
     slots = found.where("line >= 0").select(F.explode("prefix").alias("token"), F.col("k1").alias("rep"))
-    shared = written(slots.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(run, "token long, rep long, size long, x long"), "line-slots")
+    shared = written(slots.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(run, "token long, rep long, size long, x long"), "line-slots", files=files)
     once = shared.groupBy("size", "x").agg(F.min("token").alias("token"))
     return shared.join(once, ["size", "x", "token"]).drop("x").join(sets.withColumnRenamed("k1", "rep"), "rep")
 
@@ -244,15 +244,15 @@ def later_matches(rows: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document with an id: doc_id, n_lines (those with words), kept (their numbers that stay, sorted)."""
+    files = file_count(docs)
     level = levels(token_counts(docs, text))
-    found = written(lines(docs, level, key, text), "lines")
+    found = written(lines(docs, level, key, text), "lines", files=files)
     sets = found.where("line >= 0").groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
-    sets = written(sets, "line-sets")
-    chosen = written(members(found, sets), "line-buckets")
-    tokens = written(with_tokens(docs, chosen, level, key, text), "line-tokens")
+    sets = written(sets, "line-sets", files=max(1, files // 2))
+    chosen = written(members(found, sets, files), "line-buckets", files=max(1, files // 2))
+    tokens = written(with_tokens(docs, chosen, level, key, text), "line-tokens", files=files)
     rows = chosen.select("token", "size", "rep", "k2").join(tokens, ["rep", "k2"])
-    late = written(later_matches(rows), "later-lines")
-    kept = sets.join(late, ["k1", "k2"], "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("kept"))
+    kept = sets.join(later_matches(rows), ["k1", "k2"], "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("kept"))
     each = found.where("line = -1").select("doc", F.col("n").alias("n_lines"))
     return each.join(kept, "doc", "left").select(F.col("doc").alias("doc_id"), "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import file_count, written
 from .components import components, groups, roots_of
 from .textops import U64, flat, mix, shingles_of, sliced, words_of
 
@@ -295,15 +295,16 @@ def verified_links(members: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The result described above."""
-    profiles = written(profile(docs, key, text), "profiles")
+    files = file_count(docs)
+    profiles = written(profile(docs, key, text), "profiles", files=files)
     counted = profiles.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    texts = written(counted.select(F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands"), "copies", "k1", "k2"), "texts")
-    found = components(candidate_edges(texts))
-    found = written(found.withColumnRenamed("node", "rep"), "components")
+    texts = written(counted.select(F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands"), "copies", "k1", "k2"), "texts", files=files)
+    found = components(candidate_edges(texts), max(1, files // 4))
+    found = written(found.withColumnRenamed("node", "rep"), "components", files=max(1, files // 4))
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = written(found.join(sizes, "component").join(texts, "rep"), "members")
-    links = written(verified_links(with_sets(docs, members, key, text)), "links")
-    linked = components(links.select(F.col("root").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "class_id")
+    members = written(found.join(sizes, "component").join(texts, "rep"), "members", files=max(1, files // 2))
+    links = written(verified_links(with_sets(docs, members, key, text)), "links", files=files)
+    linked = components(links.select(F.col("root").alias("a"), F.col("rep").alias("b")), max(1, files // 4)).withColumnRenamed("node", "rep").withColumnRenamed("component", "class_id")
     weight = links.groupBy("rep").agg(F.sum("links").alias("links"))
     of_text = texts.select("rep", "copies", "k1", "k2").join(linked, "rep", "left").join(weight, "rep", "left")
     of_text = of_text.select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import file_count, written
 from .losertree import decoded, front_coded, merged
 from .textops import U64, flat, mix, powers, sliced
 
@@ -395,7 +395,8 @@ def match(runs: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, marks: for each document with repeats its settled anchors (start, -1) and matched runs (start, end)."""
-    settled = written(settle(anchor_rows(docs, key, text)), "anchors")
+    files = file_count(docs)
+    settled = written(settle(anchor_rows(docs, key, text)), "anchors", files=files)
     left = settled.where("state = 0").select("h", "doc", "pos")
     hot = left.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("is_hot"))
     total = left.count()
@@ -403,7 +404,7 @@ def covered(docs: DataFrame, key: str, text: str) -> DataFrame:
     if total:
         units = left.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("pos", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("units"))
         matched = match(runs_of(docs, units, max(1, total // BUCKET_UNITS), key, text))
-        marks = marks.union(written(matched, "matches"))
+        marks = marks.union(written(matched, "matches", files=files))
     return marks.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
 

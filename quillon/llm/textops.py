@@ -18,8 +18,8 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-#: Bytes of text handled at once; bounds the temporary arrays of a slice (about 40 bytes a byte).
-SLICE_BYTES = 2 << 20
+#: Bytes of text handled at once; bounds the temporary arrays of a slice (about 80 bytes a byte).
+SLICE_BYTES = 1 << 20
 
 _codes = np.arange(256, dtype=np.int64)
 LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)

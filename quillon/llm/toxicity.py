@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees, boosted, isotonic
-from .common import written
+from .common import file_count, written
 from .textops import LOWER, U64, flat, sliced, span_hashes, words_of
 
 SAMPLE = 20_000
@@ -225,7 +225,7 @@ def distinct_terms(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Model:
-    sample = written(labelled_sample(docs, labels, key, text, most), "toxicity-sample")
+    sample = written(labelled_sample(docs, labels, key, text, most), "toxicity-sample", files=file_count(docs))
     terms, weights = lexicon(sample)
     model = Model(terms, weights)
 
