@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import file_count, written
 from .components import groups
 
 TOP = 20
@@ -39,6 +39,7 @@ TARGET = 0.97
 CELL = 4096
 BLOCK = 16  # dimensions
 Z = 3.5
+DENSE = 0.04  # share of pairs left above which a block is multiplied whole
 EVERY = 20  # queries: ids divisible by this
 
 
@@ -150,7 +151,7 @@ def packed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def scan_cell(x: np.ndarray, own: np.ndarray, q: np.ndarray, probed: list[np.ndarray], rotation: np.ndarray, lists: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query: places of the surviving vectors in x, and their exact scores."""
-    d = x.shape[1]
+    d, kept = x.shape[1], None
     xr, qr = (x @ rotation).astype(np.float32), (q @ rotation).astype(np.float32)
     allowed = np.zeros((len(q), lists), bool)
     for i, p in enumerate(probed):
@@ -158,29 +159,49 @@ def scan_cell(x: np.ndarray, own: np.ndarray, q: np.ndarray, probed: list[np.nda
     allowed = allowed[:, own]
     at = min(BLOCK, d)
     part = qr[:, :at] @ xr[:, :at].T
-    xn, qn = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+    xn, qn = np.linalg.norm(x, axis=1).astype(np.float32), np.linalg.norm(q, axis=1).astype(np.float32)
 
-    few = min(KEEP + 11, len(x))
-    guess = np.where(allowed, part, -np.inf)
-    best = np.argpartition(-guess, few - 1, axis=1)[:, :few]
-    exact = np.where(np.take_along_axis(allowed, best, 1), np.einsum("qd,qkd->qk", q, x[best]), -np.inf)
-    threshold = np.sort(exact, axis=1)[:, -KEEP] if few >= KEEP else np.full(len(q), -np.inf)
-    threshold = threshold - 1e-9 * qn * (xn.max() if len(xn) else 0)
+    slack = np.float32(1e-6) * qn * (xn.max() if len(xn) else np.float32(0))
 
-    def fits(partial, done, i, j):
-        error = Z * np.sqrt((d - done) / (d * done)) * qn[i] * xn[j] + 1e-5 * qn[i] * xn[j]
-        return partial * (d / done) + error >= threshold[i]
+    def kth_best(part: np.ndarray, among: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A score that KEEP vectors reach: the KEEP-th among those that look best so far."""
+        few = min(KEEP + 11, len(x))
+        if few < KEEP:
+            return np.full(len(q), -np.inf, np.float32)
+        guess = np.where(among, part, np.float32(-np.inf))
+        best = np.argpartition(guess, len(x) - few, axis=1)[:, len(x) - few :]
+        exact = np.where(np.take_along_axis(among, best, 1), np.einsum("qd,qkd->qk", qr, x[best]), np.float32(-np.inf))
+        return np.sort(exact, axis=1)[:, -KEEP] - slack
 
-    i, j = np.nonzero(allowed & fits(part, at, np.arange(len(q))[:, None], np.arange(len(x))[None, :]))
-    partial = part[i, j].astype(np.float64)
+    threshold = kth_best(part, allowed, xr)
+
+    def margin(done: int) -> np.float32:
+        """Z standard errors of an extrapolated product of unit vectors, and what single precision may lose."""
+        return np.float32(Z * ((d - done) / (d * done)) ** 0.5 + 1e-5)
+
+    alive = allowed & (part * np.float32(d / at) + (margin(at) * qn)[:, None] * xn >= threshold[:, None])
+    # while many pairs are left, a block is one product of matrices; few are gathered one by one
+    while at < d and alive.sum() > DENSE * alive.size:
+        end = min(at + BLOCK, d)
+        columns = np.flatnonzero(alive.any(0))
+        part, alive, xr, own_xn = part[:, columns], alive[:, columns], xr[columns], xn[columns]
+        part += qr[:, at:end] @ xr[:, at:end].T
+        at = end
+        threshold = np.maximum(threshold, kth_best(part, alive, xr))
+        alive &= part * np.float32(d / at) + (margin(at) * qn)[:, None] * own_xn >= threshold[:, None]
+        kept = columns if kept is None else kept[columns]
+        xn = own_xn
+    i, j = np.nonzero(alive)
+    partial = part[i, j]
     while at < d and len(i):
         end = min(at + BLOCK, d)
         for lo in range(0, len(i), 1 << 17):
             s = slice(lo, lo + (1 << 17))
             partial[s] += np.einsum("pd,pd->p", qr[i[s], at:end], xr[j[s], at:end])
         at = end
-        keep = fits(partial, at, i, j)
-        i, j, partial = i[keep], j[keep], partial[keep]
+        left = partial * np.float32(d / at) + margin(at) * qn[i] * xn[j] >= threshold[i]
+        i, j, partial = i[left], j[left], partial[left]
+    j = j if kept is None else kept[j]
     edges = np.searchsorted(i, np.arange(len(q) + 1))
     return [(j[a:b], np.einsum("kd,d->k", x[j[a:b]], q[n])) for n, (a, b) in enumerate(zip(edges, edges[1:]))]
 
@@ -202,7 +223,8 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     kind = np.dtype(np.float32 if element == "float" else np.float64)
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
-    unique = written(distinct_vectors(rows, kind), "vectors")
+    files = file_count(vectors)
+    unique = written(distinct_vectors(rows, kind), "vectors", files=files)
     total = unique.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -215,7 +237,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
             own = lists.of(rows_of(b.column("v"), kind)) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], names=[*b.schema.names, "list"])
 
-    listed = written(unique.mapInArrow(assign, "v binary, ids array<long>, asked boolean, list int"), "lists")
+    listed = written(unique.mapInArrow(assign, "v binary, ids array<long>, asked boolean, list int"), "lists", files=files)
     sizes = np.zeros(count, np.int64)
     for r in listed.groupBy("list").count().collect():  # at most MOST_LISTS rows
         sizes[r[0]] = r[1]
