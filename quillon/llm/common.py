@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and return a frame that reads it back."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -76,17 +66,6 @@ def file_count(source: DataFrame) -> int:
     return min(MOST_FILES, max(2 * source.sparkSession.sparkContext.defaultParallelism, -(-plan_bytes(source) // FILE_BYTES)))
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table through the file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame, from file sizes for scans."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_local_path(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file")
