@@ -109,6 +109,12 @@ document(
     "SELECT n_nationkey, n_name FROM nation ORDER BY n_name COLLATE ja NULLS FIRST, n_nationkey LIMIT 12",
 )
 
+for _lang in ("zh", "ko"):
+    document(
+        f"collation_icu_{_lang}", "customer", {"sort": {"c_mktsegment": 1, "c_custkey": 1}, "collation": f"icu4x-2.1.1-{_lang}", "limit": 15, "projection": {"c_custkey": 1, "c_mktsegment": 1}},
+        f"SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment COLLATE {_lang} NULLS FIRST, c_custkey LIMIT 15",
+    )
+
 # -- arrays and paths -------------------------------------------------------
 
 document(
@@ -467,3 +473,13 @@ def _cdc_stream(e: Engine) -> DataFrame:
     q = change_counts(change_stream(e.spark, store.folder)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return e.spark.table(name).select(F.col("txn").cast("int").alias("txn"), "kind", "n")
+
+
+@query("layout_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey >= 10 AND o_custkey < 20 AND o_totalprice > 1000")
+def _layout_lookup(e: Engine) -> DataFrame:
+    """Rows found through a layout sorted by customer and falling price."""
+    from .sources.layout import SortedLayout
+
+    base, layout = e.table("orders", True), SortedLayout(e.spark, _scratch(e))
+    layout.build(base, {"o_custkey": 1, "o_totalprice": -1})
+    return layout.fetch(base, {"o_custkey": {"$gte": 10, "$lt": 20}, "o_totalprice": {"$gt": 1000.0}}).select("o_orderkey", "o_totalprice")

@@ -212,3 +212,27 @@ def test_patches():
         patched(d, [{"op": "remove", "path": "/nope/1"}])
     with pytest.raises(QueryError):
         raise QueryError("the two kinds of errors are apart")
+
+
+def test_sorted_layout(spark, tmp_path):
+    from quillon.sources.layout import SortedLayout
+
+    base = spark.range(1000).select(F.col("id").alias("_record_number"), (F.col("id") * 7 % 1000).alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("B").alias("s"))
+    layout = SortedLayout(spark, str(tmp_path / "l"))
+    layout.build(base, {"s": 1, "k": -1}, "unicode-lowercase")
+    assert layout.verify(base) and not layout.verify(base.where("k > 3"))
+    assert {r.k for r in layout.lookup({"k": {"$lt": 5}}).collect()} == set(range(5))
+    assert layout.fetch(base, {"k": 14}).first()["_record_number"] == 2
+    with pytest.raises(StoreError):
+        layout.build(base, {"k": 2})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillon.__main__ import main
+
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert main(["tables", str(tmp_path)]) == 0 and main(["find", str(tmp_path), "t", '{"filter": {"id": {"$gt": 1}}}']) == 0
+    assert main(["schema", str(tmp_path), "t"]) == 0 and main(["explain", str(tmp_path), "t", "{}"]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith("t\n") and '{"id":2}' in out
+    assert main(["find", str(tmp_path), "t", "{"]) == 1 and main(["find", str(tmp_path), "nope", "{}"]) == 1
