@@ -18,7 +18,8 @@ without words stay.
    later set of a match goes. No pair is ever a row.
 
 Null and empty texts have no lines. Rows that share a doc_id count as one
-document, lines of equal number as one line. Rows with a null doc_id are left alone.
+document, lines of equal number as one line. Rows with a null doc_id
+are left alone and not reported.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_count, written
+from .common import file_count, plan_bytes, written
 from .components import groups
 from .neardup import OVER, SHINGLE_WORDS, UNDER, in_blocks, set_keys, two_blocks, verified
 from .textops import U64, distinct_pairs, flat, mix, shingles_of, sliced, words_of
@@ -36,6 +37,9 @@ from .textops import U64, distinct_pairs, flat, mix, shingles_of, sliced, words_
 COUNT_BITS = 16
 LEVEL_SHIFT = U64(58)
 BLOCK = 512
+RUN_PAIRS = 1 << 20  # pairs of a token and a set that a task packs at once
+BUCKET_BYTES = 4 << 20  # text to a bucket of packed pairs, about
+MOST_BUCKETS = 1 << 20
 SENT_SHIFT = U64(16)  # of a token's 64 bits, 48 are sent for verifying; buckets and set keys use all
 
 
@@ -82,11 +86,23 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (n * OVER + UNDER - 1) // UNDER + 1
 
 
-def lines(docs: DataFrame, level: np.ndarray, key: str, text: str) -> DataFrame:
-    """The sets of each slice with the first of their lines there: doc, line, n, k1, k2, prefix; and for each document a row with line -1 whose n is its number of lines with words."""
-    names = ["doc", "line", "n", "k1", "k2", "prefix"]
+def lines(docs: DataFrame, level: np.ndarray, buckets: int, key: str, text: str) -> DataFrame:
+    """The sets of each slice with the first of their lines there: doc, line, n, k1, k2; for each document a row with line -1 whose n is its number of lines with words; and rows with line -2 whose run packs pairs (token, k1) of the sets' prefixes for the bucket n."""
+    names = ["doc", "line", "n", "k1", "k2", "run"]
+
+    def dealt(pairs):
+        """Rows of packed pairs, one for each bucket."""
+        x = np.concatenate(pairs)
+        own = (mix(x[:, 0].view(np.uint64)) % U64(buckets)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        x, own = x[order], own[order]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        runs = [np.ascontiguousarray(x[a:b]).tobytes() for a, b in zip(heads, [*heads[1:], len(x)])]
+        zero = np.zeros(len(heads), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(zero), pa.array(zero - 2), pa.array(own[heads]), pa.array(zero), pa.array(zero), pa.array(runs, pa.binary())], names=names)
 
     def run(batches):
+        pairs, held = [], 0
         for part in sliced(batches, text):
             data, offsets = flat(part.column(text))
             ids = part.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False) if not part.column(key).null_count else None
@@ -105,13 +121,19 @@ def lines(docs: DataFrame, level: np.ndarray, key: str, text: str) -> DataFrame:
             take = prefix_length(n[chosen])
             ends = np.cumsum(take)
             inner = np.repeat(starts[chosen] - (ends - take), take) + np.arange(ends[-1] if len(ends) else 0)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token[inner].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_of[doc[full[chosen]]]), pa.array(number[full[chosen]].astype(np.int64)), pa.array(n[chosen].astype(np.int64)), pa.array(k1[chosen]), pa.array(k2[chosen]), prefix], names=names)
+            if len(inner):
+                pairs.append(np.column_stack([token[inner].view(np.int64), np.repeat(k1[chosen], take)]))
+                held += len(inner)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_of[doc[full[chosen]]]), pa.array(number[full[chosen]].astype(np.int64)), pa.array(n[chosen].astype(np.int64)), pa.array(k1[chosen]), pa.array(k2[chosen]), pa.nulls(len(chosen), pa.binary())], names=names)
             zero = np.zeros(part.num_rows, np.int64)
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(part.num_rows + 1, np.int32)), pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_of), pa.array(zero - 1), pa.array(worded.astype(np.int64)), pa.array(zero), pa.array(zero), none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_of), pa.array(zero - 1), pa.array(worded.astype(np.int64)), pa.array(zero), pa.array(zero), pa.nulls(part.num_rows, pa.binary())], names=names)
+            if held > RUN_PAIRS:
+                yield dealt(pairs)
+                pairs, held = [], 0
+        if pairs:
+            yield dealt(pairs)
 
-    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, line long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, line long, n long, k1 long, k2 long, run binary")
 
 
 def members(found: DataFrame, sets: DataFrame, files: int | None = None) -> DataFrame:
@@ -119,14 +141,20 @@ def members(found: DataFrame, sets: DataFrame, files: int | None = None) -> Data
     schema = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("x", pa.int64())])
 
     def run(batches):
-        """Rows of tokens that two sets or more have, from rows sorted by token and set; x is a sum of the bucket's members."""
-        token, rep = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Rows of tokens that two sets or more have; x is a sum of the bucket's members."""
+        own, runs = None, []
         for b in batches:
-            token, rep = np.concatenate([token, b.column("token").to_numpy()]), np.concatenate([rep, b.column("rep").to_numpy()])
-            done = int(np.searchsorted(token == token[-1], True)) if len(token) else 0  # the last token may go on
-            yield from full(token[:done], rep[:done])
-            token, rep = token[done:], rep[done:]
-        yield from full(token, rep)
+            for bucket, raw in zip(b.column("n").to_pylist(), b.column("run").to_pylist()):
+                if bucket != own:
+                    yield from shared_tokens(runs)
+                    own, runs = bucket, []
+                runs.append(raw)
+        yield from shared_tokens(runs)
+
+    def shared_tokens(runs):
+        x = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 2)
+        order = np.lexsort((x[:, 1], x[:, 0])) if len(x) else np.zeros(0, np.int64)
+        yield from full(x[order, 0], x[order, 1])
 
     def full(token, rep):
         if not len(token):
@@ -141,9 +169,9 @@ def members(found: DataFrame, sets: DataFrame, files: int | None = None) -> Data
         many = size > 1
         yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(rep[many]), pa.array(size[many]), pa.array(x[many])], schema=schema)
 
-    # one exchange of the prefixes; sets that share no token with another leave here
-    slots = found.where("line >= 0").select(F.explode("prefix").alias("token"), F.col("k1").alias("rep"))
-    shared = written(slots.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(run, "token long, rep long, size long, x long"), "line-slots", files=files)
+    # one exchange of the prefixes, packed; sets that share no token with another leave here
+    packed = found.where("line = -2").select("n", "run").repartition("n").sortWithinPartitions("n")
+    shared = written(packed.mapInArrow(run, "token long, rep long, size long, x long"), "line-slots", files=files)
     once = shared.groupBy("size", "x").agg(F.min("token").alias("token"))
     return shared.join(once, ["size", "x", "token"]).drop("x").join(sets.withColumnRenamed("k1", "rep"), "rep")
 
@@ -246,7 +274,8 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """One row per document with an id: doc_id, n_lines (those with words), kept (their numbers that stay, sorted)."""
     files = file_count(docs)
     level = levels(token_counts(docs, text))
-    found = written(lines(docs, level, key, text), "lines", files=files)
+    buckets = min(MOST_BUCKETS, max(64, plan_bytes(docs) // BUCKET_BYTES))
+    found = written(lines(docs, level, buckets, key, text), "lines", files=files)
     sets = found.where("line >= 0").groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     sets = written(sets, "line-sets", files=max(1, files // 2))
     chosen = written(members(found, sets, files), "line-buckets", files=max(1, files // 2))
