@@ -66,6 +66,15 @@ def file_count(source: DataFrame) -> int:
     return min(MOST_FILES, max(2 * source.sparkSession.sparkContext.defaultParallelism, -(-plan_bytes(source) // FILE_BYTES)))
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table made by written() that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame, from file sizes for scans."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_count, plan_bytes, written
+from .common import discard, file_count, plan_bytes, written
 from .components import groups
 from .neardup import OVER, SHINGLE_WORDS, UNDER, in_blocks, set_keys, two_blocks, verified
 from .textops import U64, distinct_pairs, flat, mix, shingles_of, sliced, words_of
@@ -136,8 +136,8 @@ def lines(docs: DataFrame, level: np.ndarray, buckets: int, key: str, text: str)
     return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, line long, n long, k1 long, k2 long, run binary")
 
 
-def members(found: DataFrame, sets: DataFrame, files: int | None = None) -> DataFrame:
-    """Sets of the buckets to be compared: token, size, rep (k1), k2, doc, line."""
+def shared_prefixes(found: DataFrame, files: int | None = None) -> DataFrame:
+    """token, rep (k1), size and x of the tokens that the prefixes of two sets or more have."""
     schema = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("x", pa.int64())])
 
     def run(batches):
@@ -171,7 +171,11 @@ def members(found: DataFrame, sets: DataFrame, files: int | None = None) -> Data
 
     # one exchange of the prefixes, packed; sets that share no token with another leave here
     packed = found.where("line = -2").select("n", "run").repartition("n").sortWithinPartitions("n")
-    shared = written(packed.mapInArrow(run, "token long, rep long, size long, x long"), "line-slots", files=files)
+    return written(packed.mapInArrow(run, "token long, rep long, size long, x long"), "line-slots", files=files)
+
+
+def members(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sets of the buckets to be compared: token, size, rep (k1), k2, doc, line."""
     once = shared.groupBy("size", "x").agg(F.min("token").alias("token"))
     return shared.join(once, ["size", "x", "token"]).drop("x").join(sets.withColumnRenamed("k1", "rep"), "rep")
 
@@ -276,9 +280,13 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     level = levels(token_counts(docs, text))
     buckets = min(MOST_BUCKETS, max(64, plan_bytes(docs) // BUCKET_BYTES))
     found = written(lines(docs, level, buckets, key, text), "lines", files=files)
+    shared = shared_prefixes(found, files)
+    rows = written(found.where("line >= -1").drop("run"), "line-firsts", files=max(1, files // 2))
+    discard(found)  # the packed prefixes are the most of it
+    found = rows
     sets = found.where("line >= 0").groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     sets = written(sets, "line-sets", files=max(1, files // 2))
-    chosen = written(members(found, sets, files), "line-buckets", files=max(1, files // 2))
+    chosen = written(members(shared, sets), "line-buckets", files=max(1, files // 2))
     tokens = written(with_tokens(docs, chosen, level, key, text), "line-tokens", files=files)
     rows = chosen.select("token", "size", "rep", "k2").join(tokens, ["rep", "k2"])
     kept = sets.join(later_matches(rows), ["k1", "k2"], "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("kept"))
