@@ -40,6 +40,7 @@ BLOCK = 512
 RUN_PAIRS = 1 << 20  # pairs of a token and a set that a task packs at once
 BUCKET_BYTES = 4 << 20  # text to a bucket of packed pairs, about
 MOST_BUCKETS = 1 << 20
+SIGN = -(2**63)  # flipped, it gives Spark's longs the order of unsigned tokens
 SENT_SHIFT = U64(16)  # of a token's 64 bits, 48 are sent for verifying; buckets and set keys use all
 
 
@@ -176,7 +177,8 @@ def shared_prefixes(found: DataFrame, files: int | None = None) -> DataFrame:
 
 def members(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """Sets of the buckets to be compared: token, size, rep (k1), k2, doc, line."""
-    once = shared.groupBy("size", "x").agg(F.min("token").alias("token"))
+    # the positional filter needs the first of a pair's common tokens, in the tokens' own order
+    once = shared.groupBy("size", "x").agg(F.min(F.col("token").bitwiseXOR(F.lit(SIGN))).bitwiseXOR(F.lit(SIGN)).alias("token"))
     return shared.join(once, ["size", "x", "token"]).drop("x").join(sets.withColumnRenamed("k1", "rep"), "rep")
 
 

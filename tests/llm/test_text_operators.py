@@ -369,3 +369,15 @@ def test_line_dedup_rewrites(docs, by_id):
             stay = set(map(int, kept.split(","))) if kept else set()
             left = [x for k, x in enumerate(lines) if k in stay or not words(x)]
             assert got[d] == by_id[d] if not gone else [x for x in got[d].split("\n") if words(x)] == [x for x in left if words(x)]
+
+
+def test_lines_with_rare_and_frequent_tokens(spark, monkeypatch):
+    """Levels on both sides of 32: tokens of half the unsigned range and more are negative as Spark's longs."""
+    monkeypatch.setattr(linedup, "levels", lambda counts: np.where(np.arange(len(counts)) % 10 == 0, 20, 40).astype(np.uint64))
+    r, rows = np.random.default_rng(5), []
+    for i in range(60):  # a changed word of 54 leaves 45 of 55 shingles in common
+        line = [f"w{x}" for x in r.integers(10**6, size=54)]
+        rows += [(i, " ".join(line)), (1000 + i, " ".join([*line[:27], "changed", *line[28:]]))]
+    got = {x[0]: tuple(x[1:]) for x in linedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_lines(dict(rows))
+    assert got == want and sum(v[1] for v in want.values()) == 60
