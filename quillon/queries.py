@@ -88,6 +88,11 @@ document(
     {"filter": {"$or": [{"c_acctbal": {"$gt": 9000}}, {"$and": [{"c_mktsegment": "BUILDING"}, {"$not": {"c_nationkey": {"$lt": 20}}}]}], "c_custkey": {"$not": {"$gt": 1400}}}, "projection": {"c_custkey": 1, "c_acctbal": 1}},
     """SELECT c_custkey, c_acctbal FROM customer WHERE (c_acctbal > 9000 OR (c_mktsegment = 'BUILDING' AND NOT c_nationkey < 20)) AND NOT c_custkey > 1400""",
 )
+document(
+    "find_not", "customer",
+    {"filter": {"$or": [{"c_acctbal": {"$gt": 9000}}, {"$and": [{"c_mktsegment": "BUILDING"}, {"$not": {"c_nationkey": {"$lt": 20}}}]}], "c_mktsegment": {"$not": {"$eq": "MACHINERY"}}}, "projection": {"c_custkey": 1, "c_acctbal": 1}},
+    """SELECT c_custkey, c_acctbal FROM customer WHERE (c_acctbal > 9000 OR (c_mktsegment = 'BUILDING' AND NOT c_nationkey < 20)) AND NOT c_mktsegment = 'MACHINERY'""",
+)
 document(
     "find_exists", "supplier", {"filter": {"s_name": {"$exists": True}, "s_phone": {"$exists": False}, "s_fax": {"$ne": "x"}}, "projection": {"s_suppkey": 1}},
     "SELECT s_suppkey FROM supplier",
@@ -154,6 +159,15 @@ document(
        CAST(sum(abs(l_partkey - l_suppkey)) AS BIGINT) AS down, max(l_linenumber) AS plus FROM lineitem WHERE l_orderkey % 7 = 3 GROUP BY 1""",
     rounded("net", to=2),
 )
+document(
+    "expr_mod", "lineitem",
+    {"aggregate": [
+        {"$set": {"rest": {"$mod": ["$l_orderkey", 7]}, "net": {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}, "half": {"$divide": ["$l_quantity", 2]}, "up": {"$ceil": "$l_extendedprice"}, "down": {"$floor": {"$abs": {"$subtract": ["$l_partkey", "$l_suppkey"]}}}}},
+        {"$group": {"_id": "$rest", "n": {"$count": {}}, "net": {"$sum": "$net"}, "half": {"$sum": "$half"}, "up": {"$sum": "$up"}, "down": {"$sum": "$down"}}}]},
+    """SELECT l_orderkey % 7 AS "_id", count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, sum(l_quantity / 2) AS half, sum(ceil(l_extendedprice)) AS up,
+       CAST(sum(abs(l_partkey - l_suppkey)) AS BIGINT) AS down FROM lineitem GROUP BY 1""",
+    rounded("net", to=2),
+)
 document(
     "expr_cond_ifnull_let", "customer",
     {"aggregate": [{"$set": {"tier": {"$let": {"vars": {"b": {"$ifNull": ["$c_acctbal", 0.0]}}, "in": {"$cond": {"if": {"$gte": ["$$b", 5000]}, "then": "high", "else": {"$cond": [{"$lt": ["$$b", 0]}, {"$literal": "debt"}, "low"]}}}}}}}, {"$group": {"_id": "$tier", "n": {"$count": {}}}}]},
@@ -430,12 +444,13 @@ def _dbf_round_trip(e: Engine) -> DataFrame:
 
 @query("xbf_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey < 40")
 def _xbf_round_trip(e: Engine) -> DataFrame:
+    """All orders written as one XBF file and read back; the filter of the SQL applies to what is read."""
     from .sources import xbf
 
     xbf.register(e.spark)
     path = tempfile.mkdtemp(prefix="quillon-xbf-") + "/orders.xbf"
-    xbf.write_xbf(e.find("orders", {"filter": {"o_custkey": {"$lt": 40}}, "projection": {"o_orderkey": 1, "o_orderstatus": 1, "o_totalprice": 1}}), path)
-    return e.spark.read.format("xbf").option("rows", 100).load(path).drop("_record_number", "_deleted")
+    xbf.write_xbf(e.find("orders", {"projection": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 1, "o_totalprice": 1}}), path)
+    return e.spark.read.format("xbf").option("rows", 100).load(path).where("o_custkey < 40").drop("o_custkey", "_record_number", "_deleted")
 
 
 @query("xbf_representable", "SELECT 'p_name' AS column, 'trailing blanks' AS reason, count(*) AS n FROM part UNION ALL SELECT 'p_retailprice_in_full', 'name longer than 10 bytes', count(*) FROM part")
