@@ -9,7 +9,8 @@ and the holder of the key can undo it (`restore`).
 
 Kinds: email (letters and digits of the local part within their own classes),
 iban, card, ssn, ipv4, phone, date (1900 to 2099). Separators, lengths, domains,
-country codes and a card's first digit stay. What doesn't validate is left alone.
+country codes and a card's first digit stay. What doesn't validate is left alone;
+a phone with a country code is replaced also outside the number plan, and stays outside.
 
 Null texts stay null with no findings. Offsets in `spans` are code points of the
 input. Repeated rows are handled row by row. One narrow pass; no shuffle.
@@ -38,7 +39,7 @@ PATTERN = re.compile(
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))
   | (?P<card>(?<![\w+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]))
-  | (?P<phone>(?<![\w(+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])(?:[0-9]{2,4}[\x20.-]?){1,3}[0-9]{2,4}(?!\w))
+  | (?P<phone>(?<![\w+])\+[0-9]{8,15}(?!\w|\.[0-9])|(?<![\w(+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])(?:[0-9]{2,4}[\x20.-]?){1,3}[0-9]{2,4}(?!\w))
     """,
     re.X | re.A,
 )
@@ -144,9 +145,13 @@ class Pseudonyms:
             country = "1"
         rest = digits[len(country) :]
         north_american = len(rest) == 10 and country in ("", "1")
-        if len(rest) < 6 or (north_american and not subscriber(int(rest))) or (not country and not north_american):
+        within = None
+        if north_american:
+            within = subscriber if subscriber(int(rest)) else unplanned
+        # a country code marks a phone also where the plan has no such number; without one the plan decides
+        if len(rest) < 6 or (not country and within is not subscriber):
             return None
-        return refill(value, country + self._digits("phone" + ("1" if north_american else country), rest, back, subscriber if north_american else None))
+        return refill(value, country + self._digits("phone" + ("1" if north_american else country), rest, back, within))
 
     def _date(self, value: str, back: bool) -> str | None:
         if value[4:5] == "-":
@@ -172,12 +177,15 @@ class Pseudonyms:
     def rewrite(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with every valid value replaced, and (kind, start, end) in the given text."""
         found, out, done = [], [], 0
-        for m in PATTERN.finditer(text):
-            new = self.replace(m.lastgroup, m[0], back)
+        at = 0
+        while m := PATTERN.search(text, at):
+            value = one_phone(m[0]) if m.lastgroup == "phone" else m[0]
+            at = m.start() + len(value)
+            new = self.replace(m.lastgroup, value, back)
             if new is not None:
                 out += [text[done : m.start()], new]
-                done = m.end()
-                found.append((m.lastgroup, m.start(), m.end()))
+                done = at
+                found.append((m.lastgroup, m.start(), at))
         return "".join([*out, text[done:]]) if found else text, found
 
 
@@ -213,6 +221,20 @@ def subscriber(x: int) -> bool:
     return x // 10**9 >= 2 and x // 10**6 % 10 >= 2
 
 
+def unplanned(x: int) -> bool:
+    return not subscriber(x)
+
+
+def one_phone(value: str) -> str:
+    """A candidate without the groups of digits after a whole North American number, which are another value's."""
+    wanted = 11 if value.startswith("+1") else 0 if value[0] == "+" else 10
+    for m in re.finditer(r"[0-9]+", value):
+        wanted -= len(m[0])
+        if wanted == 0:
+            return value[: m.end()]
+    return value
+
+
 def routable(x: int) -> bool:
     return 1 <= x >> 24 <= 223 and x >> 24 not in (10, 127)
 

@@ -273,6 +273,19 @@ def test_pseudonyms(spark, docs, by_id, empty):
     assert {r.doc_id: r.text for r in pii.pseudonymise(pii.pseudonymise(docs, b"key"), b"key", back=True).collect()} == by_id
 
 
+def test_phones_outside_the_number_plan():
+    p = pii.Pseudonyms(b"key")
+    for phone, rest in [("+1 (017) 555-7713", ""), ("+1 (132) 555-1352", ""), ("+15551234567", ""), ("+442071234567", ""), ("+1 (826) 555-4081", " 190.137.20.5"), ("+1 (017) 555-7713", " 190.137.20.5")]:
+        text = f"call {phone}{rest}, ok"
+        new, found = p.rewrite(text)
+        assert [f[0] for f in found] == ["phone", "ipv4"][: 1 + bool(rest)] and found[0][1:] == (5, 5 + len(phone))
+        assert phone not in new and (not rest or rest not in new)
+        assert [f[0] for f in p.rewrite(new)[1]] == [f[0] for f in found] and p.rewrite(new, back=True)[0] == text
+    assert p.rewrite("017-555-7713 or +12345678.5")[1] == []
+    some = [f"+1 ({x:03d}) 555-7713" for x in range(0, 1000, 7)]
+    assert len({p.rewrite(x)[0] for x in some}) == len(some)
+
+
 # -- op7 --------------------------------------------------------------------
 
 
