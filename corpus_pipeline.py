@@ -34,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words or more lies in benchmark windows go."""
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which a twentieth of the words or more lies in benchmark windows go; from the others the windows are cut out."""
+    return decontaminate.without_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 13
 MOST_BROADCAST_SEEDS = 200_000
 SHARE = 20  # a document is contaminated if SHARE * n_hit >= n_words
@@ -179,6 +181,21 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **opt
 def without_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs whose hit words are cut out of the text, each with the separators after it. Needs distinct keys."""
     found = hits(docs, benchmark, key=key, text=text, **options).where("n_hit > 0").select(F.col("doc_id").alias("__key"), F.col("spans").alias("__spans"))
+    return _cut(docs, found, key, text)
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """keep_clean(), with the hit words of the documents that stay cut out as by without_spans(); keys may repeat."""
+    keyed = docs.withColumn("__id", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
+    found = hits(keyed, benchmark, key="__id", text=text, **options).where("n_hit > 0")
+    found = written(found.groupBy(F.col("doc_id").alias("__key")).agg(F.first("spans").alias("__spans"), F.max(is_contaminated()).alias("bad")), "benchmark-hits")
+    bad = found.where("bad").select(F.col("__key.key").alias("__bad")).distinct()
+    left = keyed.join(bad, keyed[key].eqNullSafe(F.col("__bad")), "left_anti")
+    return _cut(left, found.where("not bad").drop("bad"), "__id", text).drop("__id")
+
+
+def _cut(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """docs without the words of found's __spans, by key."""
     one = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     parts = F.regexp_extract_all(F.col(text), F.lit(one), F.lit(0))
     head = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)

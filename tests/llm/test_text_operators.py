@@ -80,6 +80,18 @@ def test_decontamination_edges(spark, docs, by_id, benchmark, empty):
             assert cut[d] == by_id[d]
 
 
+def test_pipeline_cuts_what_stays_below_the_share(spark, monkeypatch):
+    import corpus_pipeline
+
+    item = " ".join(f"item{i}" for i in range(30))
+    far = " ".join(f"word{i}" for i in range(900))
+    rows = [(1, f"{far}, {item} {far}"), (2, f"{item} {item} end"), (3, far), (4, None), (3, f"{far} {item} more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = sorted(map(tuple, corpus_pipeline.contaminated_documents(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, f"{far}, {far}"), (3, far), (4, None), (3, f"{far} more")], key=str)
+
+
 # -- op2 --------------------------------------------------------------------
 
 
