@@ -100,6 +100,24 @@ def test_neighbours_recall(spark, sf):
     assert sum(len(got[q] & {b[0] for b in best}) for q, best in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+def test_neighbours_recall_of_probed_lists(spark, monkeypatch):
+    """More than CELL vectors, so that not all lists are probed."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 32))[rng.integers(80, size=6000)] + 0.7 * rng.normal(size=(6000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    fit, fitted = ann.fit, []
+    monkeypatch.setattr(ann, "fit", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[::20].astype(float) @ x.T.astype(float)
+    score[np.arange(300), np.arange(0, 6000, 20)] = -2
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert sorted(got) == list(range(0, 6000, 20)) and len(x) > ann.CELL
+    recall = sum(len(got[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size
+    assert fitted[0].probes < len(fitted[0].centroids) and recall >= 0.9
+
+
 def test_scan_abandons_candidates_early():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 64))
