@@ -11,8 +11,10 @@ any occurrence of the window holds a whole seed at a position divisible by
 L - k + 1; documents are probed at those positions alone (every 8th word for
 windows of 13), the items at all of theirs. The seeds of the items are a
 broadcast hash table while their number is at most MOST_BROADCAST_SEEDS, else
-both sides are shuffled on the seed's hash. Each seed hit is verified word by
-word: it is stretched to both sides, and counts where it reaches a whole window.
+both sides are shuffled on the seed's hash and a salt, so that the probes of a
+common phrase meet in SALTS tasks; the rows that stand for documents are dealt
+evenly. Each seed hit is verified word by word: it is stretched to both sides,
+and counts where it reaches a whole window.
 
 Null and wordless texts have no words and no hits; wordless items have no
 windows; items of equal words are one item with several ids. Rows with equal
@@ -30,6 +32,7 @@ from .common import written
 
 WINDOW = 13
 MOST_BROADCAST_SEEDS = 200_000
+SALTS = 8  # parts of a probe's hash where both sides are shuffled
 SHARE = 20  # a document is contaminated if SHARE * n_hit >= n_words
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -140,7 +143,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
             met = rows.join(F.broadcast(seeds), "h", "left").where("p = -1 or k is not null")
             met = met.withColumn("c", F.when(F.col("p") >= 0, around)).drop("w")
         else:
-            met = rows.withColumn("c", F.when(F.col("p") >= 0, around)).drop("w").join(seeds, "h", "left").where("p = -1 or k is not null")
+            # documents' own rows have no hash: they get one of their own, and a condition that no seed meets
+            dealt = rows.withColumn("c", F.when(F.col("p") >= 0, around)).drop("w")
+            dealt = dealt.withColumns({"h": F.coalesce("h", F.xxhash64("rid")), "salt": F.pmod(F.xxhash64("rid", "p"), F.lit(SALTS)).cast("int")})
+            salted = seeds.withColumnRenamed("h", "seed_h").withColumn("seed_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            same = (F.col("h") == F.col("seed_h")) & (F.col("salt") == F.col("seed_salt")) & (F.col("p") >= 0)
+            met = dealt.join(salted, same, "left").where("p = -1 or k is not null")
         met = met.withColumn("at", shift)
         met = met.withColumn("l", stretch(reach, lambda j: F.get("c", F.col("at") - 1 - j), lambda j: F.get("left", F.lit(j))))
         met = met.withColumn("r", stretch(reach, lambda j: F.get("c", F.col("at") + F.col("k") + j), lambda j: F.get("right", F.lit(j))))

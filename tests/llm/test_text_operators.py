@@ -80,6 +80,16 @@ def test_decontamination_edges(spark, docs, by_id, benchmark, empty):
             assert cut[d] == by_id[d]
 
 
+def test_decontamination_by_shuffle_has_no_null_keys(spark, docs, benchmark):
+    """Beyond the broadcast, no probe and no document row is dealt by a null."""
+    plan = decontaminate.hits(docs, benchmark[0], most_broadcast=0)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "seed_salt" in text and "xxhash64(rid" in text
+    nameless = docs.unionByName(docs.limit(2).selectExpr("cast(null as long) as doc_id", *docs.columns[1:]))
+    rows = decontaminate.report(nameless, benchmark[0], most_broadcast=0).collect()
+    assert len(rows) == docs.count() + 2 and sum(r.doc_id is None for r in rows) == 2
+
+
 def test_pipeline_cuts_what_stays_below_the_share(spark, monkeypatch):
     import corpus_pipeline
 
