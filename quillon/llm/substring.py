@@ -16,14 +16,16 @@ byte a hundred times; only suffixes at *anchors* are exchanged:
    exchanged as front-coded runs (bytes that a suffix shares with the one before
    are not sent); each bucket's runs are merged by a loser tree that starts each
    comparison behind the known common prefix. Suffixes that share a gram come
-   together, and the strings around them are matched; of equal ones the earliest
-   stays. Grams with more than HOT segments take another exact way: their strings
-   are hashed one by one, reduced to the earliest within a task, and dealt by that
-   hash, so that no task gathers them all.
+   together, and the strings around them are matched by the common prefixes that
+   the merge knows and those of the sorted left contexts, byte by byte; of equal
+   ones the earliest stays. Grams with more than HOT segments take another way:
+   their strings are hashed one by one, reduced to the earliest within a task, and
+   dealt by that hash, so that no task gathers them all.
 3. Settled anchors and matched strings meet their documents, and the covered
    bytes are cut out.
 
-Matching trusts 64-bit hashes of strings; positions are exact. Null texts are
+Settled segments and strings of hot grams trust 128 bits (the hash of the gram and
+that of the segment or string); all other matches compare bytes. Null texts are
 empty. Rows that share a doc_id are judged as one document: equal strings at equal
 offsets of such rows don't remove each other. Rows with a null id lose nothing.
 """
@@ -39,13 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_count, written
-from .losertree import decoded, front_coded, merged
+from .losertree import common, decoded, front_coded, merged
 from .textops import U64, flat, mix, powers, sliced
 
 LENGTH = 100
 GRAM = 36
 SPAN = LENGTH - GRAM + 1  # grams in a string
 HOT = 2000
+SALTS = 32  # parts of a hot gram's anchors when they are told so
 BUCKET_UNITS = 20_000  # suffixes of a bucket, about
 RUN_BYTES = 24 << 20  # suffixes that a task sorts at once
 
@@ -227,7 +230,7 @@ def runs_of(docs: DataFrame, open_units: DataFrame, buckets: int, key: str, text
                 n = a.high[x] - a.low[x] + 1
                 q = np.repeat(a.low[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 r = np.repeat(a.row[x], n)
-                hot.append(np.column_stack([a.hashes(q, LENGTH).view(np.int64), doc[r], q - offsets[r]]))
+                hot.append(np.column_stack([a.hashes(q, LENGTH).view(np.int64), np.repeat(a.hash[x], n).view(np.int64), doc[r], q - offsets[r]]))
             if size > RUN_BYTES or sum(map(len, hot)) > 1 << 20:
                 yield from flush(held, hot)
                 held, size, hot = [], 0, []
@@ -242,8 +245,8 @@ def runs_of(docs: DataFrame, open_units: DataFrame, buckets: int, key: str, text
             yield row_of(bucket, 0, packed(units))
         if hot:
             x = np.concatenate(hot)
-            stay, matched = earliest(x[:, 0], x[:, 1], x[:, 2])
-            yield from matches(x[matched, 1], x[matched, 2])
+            stay, matched = earliest([x[:, 0], x[:, 1]], x[:, 2], x[:, 3])
+            yield from matches(x[matched, 2], x[matched, 3])
             x = x[stay]
             own = (x[:, 0].view(np.uint64) % U64(buckets)).astype(np.int64)
             for bucket in np.unique(own).tolist():
@@ -286,19 +289,23 @@ class Run:
         self.rests = raw[at : at + more]
         self.lefts = raw[at + more :]
         self.left_at = np.cumsum(self.before) - self.before
-        self.given: list[bytes] = []
 
     def __iter__(self):
-        for s, n in decoded(self.heads, self.rests):
-            self.given.append(s)
-            yield s, n
+        return decoded(self.heads, self.rests)
 
+    def left_of(self, i: int) -> bytes:
+        """The bytes before the anchor of unit i."""
+        begin = int(self.left_at[i])
+        return self.lefts[begin : begin + int(self.before[i])]
 
-def earliest(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal hashes: the place of the earliest (doc, start), and the places of the later ones."""
-    order = np.lexsort((start, doc, h))
+
+def earliest(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal keys: the place of the earliest (doc, start), and the places of the later ones."""
+    order = np.lexsort((start, doc, *keys))
     first = np.ones(len(order), bool)
-    first[1:] = h[order][1:] != h[order][:-1]
+    first[1:] = False
+    for k in keys:
+        first[1:] |= k[order][1:] != k[order][:-1]
     head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
     later = ~first & ~((doc[order] == doc[head]) & (start[order] == start[head]))
     return order[first], order[later]
@@ -316,49 +323,55 @@ def spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def merge_bucket(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of all strings served by the runs' anchors that an earlier one equals."""
-    group: list[tuple[int, int]] = []
-    found: list[list[tuple[int, int]]] = []
+    """(doc, start) of all strings served by the runs' anchors that an earlier one equals.
+
+    A string reaches `d` bytes to the left of its anchor. Two of them are equal if
+    the suffixes have LENGTH - d bytes in common, which the merge tells, and the
+    bytes before the anchors d, which the sorted left contexts tell. Nothing is hashed.
+    """
+    group: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int, int]] = []
     at = [0] * len(runs)
     for r, shared in merged([iter(x) for x in runs]):
         if shared < GRAM:
             if len(group) > 1:
-                found.append(group)
+                found += group
             group = []
-        group.append((r, at[r]))
+        group.append((r, at[r], shared if group else 0))
         at[r] += 1
     if len(group) > 1:
-        found.append(group)
-    pieces, left, doc, pos, near, length = [], [], [], [], [], []
-    for g in found:
-        for r, i in g:
-            x = runs[r]
-            n, b = int(x.before[i]), int(x.left_at[i])
-            s = x.lefts[b : b + n] + x.given[i]
-            pieces.append(s)
-            left.append(n)
-            doc.append(int(x.doc[i]))
-            pos.append(int(x.pos[i]))
-            near.append(int(x.nearest[i]))
-            length.append(len(s))
-    if not pieces:
+        found += group
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    left, doc, pos, near, length = (np.array(v, np.int64) for v in (left, doc, pos, near, length))
-    base, inverse = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * base[: len(data)], out=total[1:])
-    begin = np.cumsum(length) - length
-    n = left - near + 1  # strings of a segment: from `left` bytes before the anchor to `near` before it
-    unit = np.repeat(np.arange(len(n)), n)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    q = begin[unit] + step
-    h = mix((total[q + LENGTH] - total[q]) * inverse[q])
-    start = pos[unit] - left[unit] + step
-    _, later = earliest(h, doc[unit], start)
+    shared = np.array([f[2] for f in found], np.int64)
+    doc = np.array([runs[r].doc[i] for r, i, _ in found], np.int64)
+    pos = np.array([runs[r].pos[i] for r, i, _ in found], np.int64)
+    left = np.array([runs[r].before[i] for r, i, _ in found], np.int64)
+    near = np.array([runs[r].nearest[i] for r, i, _ in found], np.int64)
+    before = [runs[r].left_of(i) for r, i, _ in found]
+    order, common_left = sorted_lefts(before)
+    d = np.arange(SPAN)
+    # the number of breaks up to a unit names its run of equal neighbours, for each reach d
+    right_of = np.cumsum(shared[:, None] < LENGTH - d[None, :], axis=0, dtype=np.int32)
+    left_of = np.empty_like(right_of)
+    left_of[order] = np.cumsum(common_left[:, None] < d[None, :], axis=0, dtype=np.int32)
+    unit, reach = np.nonzero((d[None, :] >= near[:, None]) & (d[None, :] <= left[:, None]))
+    same = (right_of[unit, reach].astype(np.int64) << 32) | left_of[unit, reach]
+    start = pos[unit] - reach
+    _, later = earliest([reach, same], doc[unit], start)
     return doc[unit][later], start[later]
 
 
+def sorted_lefts(before: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the contexts by their bytes from the last to the first, and the bytes that each has in common with the one before."""
+    turned = [b[::-1] for b in before]
+    order = np.array(sorted(range(len(turned)), key=turned.__getitem__), np.int64)
+    shared, last = np.zeros(len(order), np.int64), b""
+    for k, i in enumerate(order.tolist()):
+        shared[k], last = common(last, turned[i], 0), turned[i]
+    return order, shared
+
+
 def match(runs: DataFrame) -> DataFrame:
     """doc, start, end of matched strings."""
 
@@ -369,9 +382,9 @@ def match(runs: DataFrame) -> DataFrame:
             if kept:
                 yield from given(*merge_bucket([Run(r) for r in kept]))
             if hashes:
-                x = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 3) for r in hashes])
-                later = earliest(x[:, 0], x[:, 1], x[:, 2])[1]
-                yield from given(x[later, 1], x[later, 2])
+                x = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 4) for r in hashes])
+                later = earliest([x[:, 0], x[:, 1]], x[:, 2], x[:, 3])[1]
+                yield from given(x[later, 2], x[later, 3])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -393,6 +406,12 @@ def match(runs: DataFrame) -> DataFrame:
     return runs.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc long, start long, end long")
 
 
+def marked_hot(left: DataFrame, hot: DataFrame) -> DataFrame:
+    """left with a column is_hot. Both sides are dealt by a salt too, so that no task gathers all anchors of a gram."""
+    salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left").drop("salt")
+
+
 def covered(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, marks: for each document with repeats its settled anchors (start, -1) and matched runs (start, end)."""
     files = file_count(docs)
@@ -402,7 +421,7 @@ def covered(docs: DataFrame, key: str, text: str) -> DataFrame:
     total = left.count()
     marks = settled.where("state = 1").select("doc", F.col("pos").alias("start"), F.lit(-1).cast("long").alias("end"))
     if total:
-        units = left.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("pos", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("units"))
+        units = marked_hot(left, hot).groupBy("doc").agg(F.collect_list(F.struct("pos", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("units"))
         matched = match(runs_of(docs, units, max(1, total // BUCKET_UNITS), key, text))
         marks = marks.union(written(matched, "matches", files=files))
     return marks.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
