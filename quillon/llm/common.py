@@ -54,7 +54,9 @@ def written(df: DataFrame, what: str, codec: str = "zstd", files: int | None = N
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 FILE_BYTES = 64 << 20
@@ -67,11 +69,11 @@ def file_count(source: DataFrame) -> int:
 
 
 def discard(df: DataFrame) -> None:
-    """Remove a table made by written() that nothing will read again."""
-    files = df.inputFiles()
-    if files:
+    """Remove a table that written() gave and that nothing will read again."""
+    path = getattr(df, "_scratch", None)
+    if path is not None:
         jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
 
 

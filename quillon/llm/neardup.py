@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import file_count, written
+from .common import discard, file_count, written
 from .components import components, groups, roots_of
 from .textops import U64, flat, mix, shingles_of, sliced, words_of
 
@@ -49,7 +49,9 @@ TOLERANCE = 1e-4
 STEP = 20  # MinHash values between two looks at the posterior
 BUCKET_BLOCK = 512
 COMPONENT_BLOCK = 256
-MOST_BROADCAST = 400_000  # members (24 bytes each) that may be broadcast to find their texts again
+MOST_BROADCAST = 16 << 20  # bytes of members (ROW_BYTES each) that may be broadcast to find their texts again
+ROW_BYTES = 100  # six integers of a member, and its place in the hash table
+SALTS = 16  # parts of a bucket's members when they are told that it is to be compared
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -175,17 +177,21 @@ def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             full = np.flatnonzero(n)
             starts = np.searchsorted(row, full)
             k1, k2 = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
-            bands: np.ndarray = np.zeros((0, BANDS), np.int64)
             if len(full):
                 k1[full], k2[full] = set_keys(h, starts)
-                bands = packed(signatures(h, starts))
-            lengths = np.where(n > 0, BANDS, 0)
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(bands.ravel()))
+            listed = listed_bands(h, starts, n)
             yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), listed], schema=schema)
 
     return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
+def listed_bands(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """The packed MinHash values of each row of n shingles; none for rows without."""
+    bands = packed(signatures(h, starts)) if len(starts) else np.zeros((0, BANDS), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))
+
+
 def set_keys(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each run of distinct hashes, whatever their order."""
     return tuple(np.add.reduceat(mix(h ^ U64(c)), starts).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
@@ -197,7 +203,10 @@ def bucket_rows(texts: DataFrame) -> DataFrame:
     buckets = slots.groupBy("pos", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
     # equal members: equal number and equal sum of their hashes; the first such bucket stays
     once = buckets.groupBy("n", "x").agg(F.min(F.struct("pos", "key")).alias("b")).select(F.col("b.pos").alias("pos"), F.col("b.key").alias("key"), "n")
-    return slots.join(once, ["pos", "key"]).join(texts.select("rep", "bands"), "rep")
+    # dealt by a salt too, so that no task gathers all members of a bucket
+    once = once.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    slots = slots.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return slots.join(once, ["pos", "key", "salt"]).drop("salt").join(texts.select("rep", "bands"), "rep")
 
 
 def in_blocks(rows: DataFrame, n: str, size: int) -> DataFrame:
@@ -252,8 +261,8 @@ def candidate_edges(texts: DataFrame) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
-    """members (rep, k1, k2, ...) with the shingle set of each, read from docs again."""
-    small = members.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    """members (rep, k1, k2, ...; integers alone) with the shingle set and the MinHash values of each, made from docs again."""
+    small = members.limit(MOST_BROADCAST // ROW_BYTES + 1).count() * ROW_BYTES <= MOST_BROADCAST
     rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(F.broadcast(members) if small else members, "rep")
     names = [x for x in rows.columns if x != "text"]
 
@@ -268,9 +277,11 @@ def with_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataF
                 right[full] = (part.column("k1").to_numpy()[full] == k1) & (part.column("k2").to_numpy()[full] == k2)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), sets], names=[*names, "shingles"]).filter(pa.array(right))
+            bands = listed_bands(h, starts, np.bincount(row, minlength=part.num_rows)) if len(full) else pa.nulls(part.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), bands, sets], names=[*names, "bands", "shingles"]).filter(pa.array(right))
 
-    return rows.mapInArrow(run, rows.drop("text").schema.add("shingles", T.ArrayType(T.LongType())))
+    longs = T.ArrayType(T.LongType())
+    return rows.mapInArrow(run, rows.drop("text").schema.add("bands", longs).add("shingles", longs))
 
 
 def verified_links(members: DataFrame) -> DataFrame:
@@ -302,8 +313,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     found = components(candidate_edges(texts), max(1, files // 4))
     found = written(found.withColumnRenamed("node", "rep"), "components", files=max(1, files // 4))
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = written(found.join(sizes, "component").join(texts, "rep"), "members", files=max(1, files // 2))
+    members = written(found.join(sizes, "component").join(texts.drop("bands"), "rep"), "members", files=max(1, files // 4))
     links = written(verified_links(with_sets(docs, members, key, text)), "links", files=files)
+    discard(found)
+    discard(members)
     linked = components(links.select(F.col("root").alias("a"), F.col("rep").alias("b")), max(1, files // 4)).withColumnRenamed("node", "rep").withColumnRenamed("component", "class_id")
     weight = links.groupBy("rep").agg(F.sum("links").alias("links"))
     of_text = texts.select("rep", "copies", "k1", "k2").join(linked, "rep", "left").join(weight, "rep", "left")
