@@ -1,14 +1,16 @@
 """Operator 8: line dedup by an exact set-similarity join.
 
 A line (text between line feeds) has as tokens its 5-word shingles; a line of
-fewer words, but not none, has one. A line goes if an earlier line (smaller
+fewer words, but not none, has one. With shingle=1 its tokens are its words, the
+second occurrence of a word another token than the first. A line goes if an earlier line (smaller
 doc_id, or same document and smaller line number) has a Jaccard similarity of
 4/5 or more with it; lines are judged on the input, not on what is left. Lines
 without words stay.
 
-1. Rarity: counts of all shingles of the corpus in a table of fixed size, so
-   that its broadcast has a bound. A token is its count's magnitude and its hash,
-   in one integer: tokens sort from rare to frequent.
+1. Rarity: counts of all tokens of the corpus in a table of fixed size, so that
+   its broadcast has a bound (a byte for each of 2**COUNT_BITS classes of hashes).
+   A token is its class's magnitude and its hash, in one integer: tokens sort from
+   rare to frequent. Any such order gives the same result; it decides the work.
 2. Equal token sets are one *set* with its first line. Two sets of 4/5 share one
    of the first n - ceil(4n/5) + 1 tokens (prefix filter). Tokens in the
    prefixes of two sets or more are buckets; of buckets with equal members one
@@ -32,16 +34,18 @@ from pyspark.sql import functions as F
 from .common import discard, file_count, plan_bytes, written
 from .components import groups
 from .neardup import OVER, SHINGLE_WORDS, UNDER, in_blocks, set_keys, two_blocks, verified
-from .textops import U64, distinct_pairs, flat, mix, shingles_of, sliced, words_of
+from .textops import U64, Words, distinct_pairs, flat, mix, shingles_of, sliced, words_of
 
-COUNT_BITS = 16
+COUNT_BITS = 20
+COUNT_CHUNK = 1 << 14  # counters of a row between tasks
 LEVEL_SHIFT = U64(58)
 BLOCK = 512
 RUN_PAIRS = 1 << 20  # pairs of a token and a set that a task packs at once
 BUCKET_BYTES = 4 << 20  # text to a bucket of packed pairs, about
 MOST_BUCKETS = 1 << 20
 SIGN = -(2**63)  # flipped, it gives Spark's longs the order of unsigned tokens
-SENT_SHIFT = U64(16)  # of a token's 64 bits, 48 are sent for verifying; buckets and set keys use all
+SENT_BYTES = 7  # of a token's 8 that are sent for verifying; buckets and set keys use all
+SENT_SHIFT = U64(64 - 8 * SENT_BYTES)
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,33 +57,58 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.append(begin, len(data)), row, np.arange(len(begin)) - first[row]
 
 
-def token_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How many shingles of the corpus fall into each of 2**COUNT_BITS classes of hashes."""
+def token_counts(docs: DataFrame, text: str, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """How many tokens of the corpus fall into each of 2**COUNT_BITS classes of hashes. A task sends its counters in packed chunks."""
 
     def run(batches):
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for part in sliced(batches, text):
             data, offsets = flat(part.column(text))
-            _, h = shingles_of(words_of(data, offsets), SHINGLE_WORDS, distinct=False)
+            _, h = hashed(words_of(data, offsets), shingle)
             total += np.bincount((h >> U64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["class", "n"])
+        if total.any():
+            width = 4 if total.max() < 2**32 else 8
+            raw = [c.astype(f"<u{width}").tobytes() for c in total.reshape(-1, COUNT_CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(raw, pa.binary())], names=["chunk", "raw"])
 
-    got = docs.select(text).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[got["class"].to_numpy()] = got["n"].to_numpy()
-    return out
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("raw").to_pylist()):
+                x = np.frombuffer(raw, f"<u{len(raw) // COUNT_CHUNK}").astype(np.int64)
+                sums[chunk] = sums[chunk] + x if chunk in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "raw"])
+
+    chunks = (1 << COUNT_BITS) // COUNT_CHUNK
+    got = docs.select(text).mapInArrow(run, "chunk long, raw binary").repartition(chunks, "chunk").mapInArrow(add, "chunk long, raw binary").collect()  # 2**COUNT_BITS integers
+    out = np.zeros((chunks, COUNT_CHUNK), np.int64)
+    for r in got:
+        out[r["chunk"]] = np.frombuffer(r["raw"], np.int64)
+    return out.ravel()
+
+
+def hashed(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all shingles, or of all words with the number of their occurrence in the row."""
+    if shingle > 1:
+        return shingles_of(words, shingle, distinct=False)
+    row, h = words.row, words.hash
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    place = np.arange(len(h))
+    return row, mix(h + (place - np.maximum.accumulate(np.where(first, place, 0))).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Magnitude of each class's count, 0 to 30 by half powers of two."""
-    return np.minimum(62, 2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
+    """Magnitude of each class's count, 0 to 62 by half powers of two."""
+    return np.minimum(62, 2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(data: np.ndarray, offsets: np.ndarray, level: np.ndarray, shingle: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(line, token) of all lines, sorted, without repeats."""
-    row, h = shingles_of(words_of(data, offsets), SHINGLE_WORDS, distinct=False)
-    token = (level[(h >> U64(64 - COUNT_BITS)).astype(np.int64)] << LEVEL_SHIFT) | (h & U64((1 << 58) - 1))
+    row, h = hashed(words_of(data, offsets), shingle)
+    token = (level[(h >> U64(64 - COUNT_BITS)).astype(np.int64)].astype(U64) << LEVEL_SHIFT) | (h & U64((1 << 58) - 1))
     return distinct_pairs(row, token)
 
 
@@ -87,7 +116,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (n * OVER + UNDER - 1) // UNDER + 1
 
 
-def lines(docs: DataFrame, level: np.ndarray, buckets: int, key: str, text: str) -> DataFrame:
+def lines(docs: DataFrame, level: np.ndarray, buckets: int, key: str, text: str, shingle: int) -> DataFrame:
     """The sets of each slice with the first of their lines there: doc, line, n, k1, k2; for each document a row with line -1 whose n is its number of lines with words; and rows with line -2 whose run packs pairs (token, k1) of the sets' prefixes for the bucket n."""
     names = ["doc", "line", "n", "k1", "k2", "run"]
 
@@ -109,7 +138,7 @@ def lines(docs: DataFrame, level: np.ndarray, buckets: int, key: str, text: str)
             ids = part.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False) if not part.column(key).null_count else None
             docs_of = np.array([-(2**63) if x is None else x for x in part.column(key).to_pylist()], np.int64) if ids is None else ids
             at, doc, number = line_offsets(data, offsets)
-            line, token = tokens_of(data, at, level) if len(at) > 1 else (np.zeros(0, np.int64), np.zeros(0, U64))
+            line, token = tokens_of(data, at, level, shingle) if len(at) > 1 else (np.zeros(0, np.int64), np.zeros(0, U64))
             full, starts, n = np.unique(line, return_index=True, return_counts=True)
             k1, k2 = set_keys(token, starts) if len(full) else (np.zeros(0, np.int64),) * 2
             worded = np.bincount(doc[full], minlength=part.num_rows) if len(full) else np.zeros(part.num_rows, np.int64)
@@ -182,7 +211,7 @@ def members(shared: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.join(once, ["size", "x", "token"]).drop("x").join(sets.withColumnRenamed("k1", "rep"), "rep")
 
 
-def with_tokens(docs: DataFrame, chosen: DataFrame, level: np.ndarray, key: str, text: str) -> DataFrame:
+def with_tokens(docs: DataFrame, chosen: DataFrame, level: np.ndarray, key: str, text: str, shingle: int) -> DataFrame:
     """rep, k2, doc, line, tokens of the chosen sets, from their first lines."""
     of_doc = chosen.select("rep", "k2", "doc", "line").distinct().groupBy("doc").agg(F.collect_list(F.struct("line", "rep", "k2")).alias("wanted"))
     # by shuffle at every size: most documents hold some such line
@@ -206,7 +235,7 @@ def with_tokens(docs: DataFrame, chosen: DataFrame, level: np.ndarray, key: str,
             length = at[x + 1] - at[x]
             ends = np.concatenate([[0], np.cumsum(length)])
             own = data[np.arange(ends[-1]) + np.repeat(at[x] - ends[:-1], length)]
-            of, token = tokens_of(own, ends, level)
+            of, token = tokens_of(own, ends, level, shingle)
             full, starts = np.unique(of, return_index=True)
             if not len(full):
                 continue
@@ -215,7 +244,7 @@ def with_tokens(docs: DataFrame, chosen: DataFrame, level: np.ndarray, key: str,
             right[full] = (a == rep[full]) & (b == k2[full])
             ends = np.searchsorted(of, np.arange(len(x) + 1)).tolist()
             raw = sent(token)
-            lists = pa.array([raw[6 * lo : 6 * hi] for lo, hi in zip(ends, ends[1:])], pa.binary())
+            lists = pa.array([raw[SENT_BYTES * lo : SENT_BYTES * hi] for lo, hi in zip(ends, ends[1:])], pa.binary())
             ids = part.column("doc").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(k2), pa.array(ids[row]), pa.array(line), lists], schema=schema).filter(pa.array(right))
 
@@ -223,13 +252,13 @@ def with_tokens(docs: DataFrame, chosen: DataFrame, level: np.ndarray, key: str,
 
 
 def sent(token: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted tokens, six bytes each."""
-    return (token >> SENT_SHIFT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The upper bits of sorted tokens, SENT_BYTES each."""
+    return (token >> SENT_SHIFT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES].tobytes()
 
 
 def received(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw) // SENT_BYTES, 8), np.uint8)
+    out[:, :SENT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SENT_BYTES)
     return out.view("<u8").ravel()
 
 
@@ -276,12 +305,12 @@ def later_matches(rows: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "k1 long, k2 long").distinct()
 
 
-def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with an id: doc_id, n_lines (those with words), kept (their numbers that stay, sorted)."""
+def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """One row per document with an id: doc_id, n_lines (those with words), kept (their numbers that stay, sorted). shingle: words of a token."""
     files = file_count(docs)
-    level = levels(token_counts(docs, text))
+    level = levels(token_counts(docs, text, shingle))
     buckets = min(MOST_BUCKETS, max(64, plan_bytes(docs) // BUCKET_BYTES))
-    found = written(lines(docs, level, buckets, key, text), "lines", files=files)
+    found = written(lines(docs, level, buckets, key, text, shingle), "lines", files=files)
     shared = shared_prefixes(found, files)
     rows = written(found.where("line >= -1").drop("run"), "line-firsts", files=max(1, files // 2))
     discard(found)  # the packed prefixes are the most of it
@@ -289,22 +318,23 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     sets = found.where("line >= 0").groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     sets = written(sets, "line-sets", files=max(1, files // 2))
     chosen = written(members(shared, sets), "line-buckets", files=max(1, files // 2))
-    tokens = written(with_tokens(docs, chosen, level, key, text), "line-tokens", files=files)
+    discard(shared)
+    tokens = written(with_tokens(docs, chosen, level, key, text, shingle), "line-tokens", files=files)
     rows = chosen.select("token", "size", "rep", "k2").join(tokens, ["rep", "k2"])
     kept = sets.join(later_matches(rows), ["k1", "k2"], "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("kept"))
     each = found.where("line = -1").select("doc", F.col("n").alias("n_lines"))
     return each.join(kept, "doc", "left").select(F.col("doc").alias("doc_id"), "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """kept_lines() as counts and the kept lines' numbers, comma-joined."""
-    found = kept_lines(docs, key, text)
+    found = kept_lines(docs, key, text, shingle)
     return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept_lines"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """docs with the text cut down to the kept lines, all columns kept. A document with words that keeps none of them goes."""
-    found = kept_lines(docs, key, text).select(F.col("doc_id").alias("__key"), "n_lines", "kept").groupBy("__key").agg(F.max(F.struct("n_lines", "kept")).alias("__x"))
+    found = kept_lines(docs, key, text, shingle).select(F.col("doc_id").alias("__key"), "n_lines", "kept").groupBy("__key").agg(F.max(F.struct("n_lines", "kept")).alias("__x"))
     rows = docs.join(found, docs[key].eqNullSafe(F.col("__key")), "left").select(*docs.columns, F.col("__x.n_lines").alias("__n"), F.col("__x.kept").alias("__kept"))
     names = list(docs.columns)
     place = names.index(text)

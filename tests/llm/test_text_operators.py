@@ -367,7 +367,12 @@ def test_loser_tree():
 # -- op8 --------------------------------------------------------------------
 
 
-def brute_lines(by_id):
+def word_tokens(line):
+    seen = Counter()
+    return {(w, seen.update([w]) or seen[w]) for w in words(line)}
+
+
+def brute_lines(by_id, shingles=shingles):
     kept, sets = {}, []
     for d in sorted(by_id):
         n, stay = 0, []
@@ -393,6 +398,14 @@ def test_lines(docs, by_id, empty, block, monkeypatch):
         assert linedup.report(empty).count() == 0
 
 
+def test_lines_with_words_as_tokens(spark, docs, by_id):
+    got = {r[0]: tuple(r[1:]) for r in linedup.report(docs, shingle=1).collect()}
+    assert got == brute_lines(by_id, word_tokens)
+    near = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "one two three four FIVE! other seven eight nine ten"), (3, "to be or not to be"), (4, "to be or not be to to")], "doc_id long, text string")
+    assert [r.n_removed for r in linedup.report(near, shingle=1).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+    assert sum(r.n_removed for r in linedup.report(near).collect()) == 0
+
+
 def test_line_dedup_rewrites(docs, by_id):
     want = brute_lines(by_id)
     got = {r.doc_id: r.text for r in linedup.dedup(docs).collect()}
@@ -408,7 +421,7 @@ def test_line_dedup_rewrites(docs, by_id):
 
 def test_lines_with_rare_and_frequent_tokens(spark, monkeypatch):
     """Levels on both sides of 32: tokens of half the unsigned range and more are negative as Spark's longs."""
-    monkeypatch.setattr(linedup, "levels", lambda counts: np.where(np.arange(len(counts)) % 10 == 0, 20, 40).astype(np.uint64))
+    monkeypatch.setattr(linedup, "levels", lambda counts: np.where(np.arange(len(counts)) % 10 == 0, 20, 40).astype(np.uint8))
     r, rows = np.random.default_rng(5), []
     for i in range(60):  # a changed word of 54 leaves 45 of 55 shingles in common
         line = [f"w{x}" for x in r.integers(10**6, size=54)]
