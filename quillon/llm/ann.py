@@ -3,8 +3,12 @@
 1. Rows of equal vectors are one *vector* with its KEEP least ids: no answer can
    hold more of them, and queries of equal vectors share one search.
 2. From a sample of at most SAMPLE vectors the driver fits centroids (at most
-   MOST_LISTS) and, by comparing with brute force within the sample, the number
-   of lists to probe for a recall of TARGET. Every vector is put in a list.
+   MOST_LISTS). Where the square root of the number of vectors is larger, a second
+   level is fitted on what the first leaves, shared by all its lists: a list is
+   then a pair of centroids, and there are MOST_LISTS * MOST_SECOND at most. By
+   comparing with brute force within the sample the driver sets the number of
+   lists to probe for a recall of TARGET (up to CELL vectors: all lists). Every
+   vector is put in a list.
 3. Lists are packed into cells of about CELL vectors, larger lists split over
    several. A query goes once to each cell that holds a list it probes.
 4. In a cell, vectors and queries are turned by one random rotation. Inner
@@ -35,6 +39,8 @@ TOP = 20
 KEEP = TOP + 1  # a query's own id is among its answers and is taken out later
 SAMPLE = 20_000
 MOST_LISTS = 1024
+MOST_SECOND = 256  # centroids of the second level
+SCORES = 1 << 22  # scores of queries and lists held at once
 TARGET = 0.97
 CELL = 4096
 BLOCK = 16  # dimensions
@@ -86,49 +92,78 @@ def rows_of(column, kind: np.dtype) -> np.ndarray:
 
 @dataclass
 class Lists:
+    """List i is the pair of centroids divmod(i, len(second)); second holds zero alone where there is one level."""
+
     centroids: np.ndarray
     rotation: np.ndarray
     probes: int
+    second: np.ndarray
     sizes: np.ndarray | None = None  # vectors of each list
 
+    @property
+    def count(self) -> int:
+        return len(self.centroids) * len(self.second)
+
     def of(self, x: np.ndarray) -> np.ndarray:
-        """The list of each vector: that of the nearest centroid."""
-        return (x.astype(np.float64) @ self.centroids.T - (self.centroids**2).sum(1) / 2).argmax(1)
+        """The list of each vector: that of the nearest centroid, and of the nearest one of the second level to the rest."""
+        x = x.astype(np.float64)
+        own = nearest(x, self.centroids)
+        return own * len(self.second) + nearest(x - self.centroids[own], self.second) if len(self.second) > 1 else own
 
-    def ordered(self, q: np.ndarray) -> np.ndarray:
-        """All lists, best first, for each query."""
-        return np.argsort(-(q.astype(np.float64) @ self.centroids.T), axis=1, kind="stable")
+    def scores(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of queries with all lists' centres."""
+        q = q.astype(np.float64)
+        return ((q @ self.centroids.T)[:, :, None] + (q @ self.second.T)[:, None, :]).reshape(len(q), -1)
 
     def probed(self, q: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query probes: `probes`, or more until they hold KEEP vectors."""
-        order = self.ordered(q)
-        held = np.cumsum(self.sizes[order], axis=1)
-        return [o[: max(self.probes, int(np.searchsorted(h, KEEP)) + 1)] for o, h in zip(order, held)]
+        """The lists that each query probes, best first: `probes`, or more until they hold KEEP vectors."""
+        out = []
+        for lo in range(0, len(q), step := max(1, SCORES // self.count)):
+            for score in self.scores(q[lo : lo + step]):
+                few = min(self.count, self.probes)
+                best = np.argpartition(-score, few - 1)[:few]
+                if self.sizes[best].sum() < KEEP:
+                    best = np.argsort(-score, kind="stable")
+                    best = best[: max(few, int(np.searchsorted(np.cumsum(self.sizes[best]), KEEP)) + 1)]
+                best = best[self.sizes[best] > 0]
+                out.append(best[np.argsort(-score[best], kind="stable")].astype(np.int32))
+        return out
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    own, half = np.empty(len(x), np.int64), (c**2).sum(1) / 2
+    for lo in range(0, len(x), step := max(1, SCORES // len(c))):
+        own[lo : lo + step] = (x[lo : lo + step] @ c.T - half).argmax(1)
+    return own
+
+
+def k_means(x: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    c = x[rng.choice(len(x), count, replace=False)].copy()
+    for _ in range(rounds):
+        own = nearest(x, c)
+        size, total_of = np.bincount(own, minlength=count), np.zeros_like(c)
+        np.add.at(total_of, own, x)
+        c[size > 0] = total_of[size > 0] / size[size > 0, None]
+    return c
 
 
 def fit(sample: np.ndarray, total: int, seed: int = 7) -> Lists:
     """Centroids by k-means, and the number of probes that TARGET takes within the sample."""
     rng = np.random.default_rng(seed)
     x, d = sample.astype(np.float64), sample.shape[1]
-    count = max(1, min(MOST_LISTS, int(total**0.5), len(x)))
-    c = x[rng.choice(len(x), count, replace=False)].copy()
-    for _ in range(8):
-        own = (x @ c.T - (c**2).sum(1) / 2).argmax(1)
-        size = np.bincount(own, minlength=count)
-        total_of = np.zeros_like(c)
-        np.add.at(total_of, own, x)
-        c[size > 0] = total_of[size > 0] / size[size > 0, None]
+    wanted = max(1, int(total**0.5))
+    c = k_means(x, min(MOST_LISTS, wanted, len(x)), rng)
+    more = min(MOST_SECOND, -(-wanted // len(c)), len(x)) if wanted > MOST_LISTS else 1
+    second = k_means(x - c[nearest(x, c)], more, rng) if more > 1 else np.zeros((1, d))
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-    lists = Lists(c, rotation, count)
-    own = lists.of(x)
+    lists = Lists(c, rotation, 1, second)
+    own, needed = lists.of(x), []
     q = x[rng.choice(len(x), min(300, len(x)), replace=False)]
-    order = lists.ordered(q)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(count)[None, :].repeat(len(q), 0), 1)
-    score = q @ x.T
-    best = np.argpartition(-score, min(TOP, len(x) - 1), axis=1)[:, : TOP + 1]
-    needed = np.take_along_axis(rank, own[best], 1)
-    lists.probes = count if total <= CELL else int(min(count, np.quantile(needed, TARGET) + 2))
+    best = np.argpartition(-(q @ x.T), min(TOP, len(x) - 1), axis=1)[:, : TOP + 1]
+    for lo in range(0, len(q), step := max(1, SCORES // lists.count)):
+        for score, b in zip(lists.scores(q[lo : lo + step]), best[lo : lo + step]):
+            needed.append(lists.count - np.searchsorted(np.sort(score), score[own[b]], side="right"))  # better lists
+    lists.probes = lists.count if total <= CELL else int(min(lists.count, np.quantile(np.concatenate(needed), TARGET) + 2))
     return lists
 
 
@@ -230,7 +265,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = unique.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toPandas()["v"]
     lists = fit(np.frombuffer(b"".join(sample), kind).reshape(len(sample), -1), total)
-    count = len(lists.centroids)
+    count = lists.count
 
     def assign(batches):
         for b in batches:
@@ -239,7 +274,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     listed = written(unique.mapInArrow(assign, "v binary, ids array<long>, asked boolean, list int"), "lists", files=files)
     sizes = np.zeros(count, np.int64)
-    for r in listed.groupBy("list").count().collect():  # at most MOST_LISTS rows
+    for r in listed.groupBy("list").count().collect():  # at most MOST_LISTS * MOST_SECOND rows
         sizes[r[0]] = r[1]
     lists.sizes = sizes
     first, parts = packed(sizes)

@@ -100,8 +100,11 @@ def test_neighbours_recall(spark, sf):
     assert sum(len(got[q] & {b[0] for b in best}) for q, best in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
-def test_neighbours_recall_of_probed_lists(spark, monkeypatch):
-    """More than CELL vectors, so that not all lists are probed."""
+@pytest.mark.parametrize("most_lists, sample", [(1024, 20_000), (16, 20_000), (16, 2000)])
+def test_neighbours_recall_of_probed_lists(spark, monkeypatch, most_lists, sample):
+    """More than CELL vectors, so that not all lists are probed; with one level and two, and beyond the sample."""
+    monkeypatch.setattr(ann, "MOST_LISTS", most_lists)
+    monkeypatch.setattr(ann, "SAMPLE", sample)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 32))[rng.integers(80, size=6000)] + 0.7 * rng.normal(size=(6000, 32))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -115,7 +118,8 @@ def test_neighbours_recall_of_probed_lists(spark, monkeypatch):
     best = np.argsort(-score, axis=1)[:, :20]
     assert sorted(got) == list(range(0, 6000, 20)) and len(x) > ann.CELL
     recall = sum(len(got[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size
-    assert fitted[0].probes < len(fitted[0].centroids) and recall >= 0.9
+    assert fitted[0].probes < fitted[0].count and recall >= 0.9
+    assert (len(fitted[0].second) > 1) == (most_lists == 16)
 
 
 def test_scan_abandons_candidates_early():
