@@ -3,14 +3,16 @@
 A rolling hash over the bytes cuts each text where the content says so, so equal
 passages in different documents give equal chunks. A chunk is encoded once and
 its ids are kept in a bounded cache of the worker. Chunk edges are not token
-edges: of each chunk only the core between two *certain* edges is kept, and the
-text between the core of one chunk and that of the next is encoded again,
-together with what precedes it, until it begins and ends at certain edges.
+edges: of each chunk only the core between two *certain* edges is kept. A join is
+the text between the cores of two chunks. It is encoded again together with the
+last piece of the core before and the first piece of the core behind, and the ids
+must begin and end as those of these pieces do; where they don't, the text is
+encoded whole, as what a join that grows on both sides comes to.
 
 An edge is certain where a letter or digit is followed by one space and another
 letter or digit: whatever stands around, the byte-level pre-tokeniser ends a
 piece before that space and begins one with it, and pieces are merged
-independently. So cores and joins together are exactly the ids of the whole text.
+independently. So the first comparison agrees for the vocabularies accepted here.
 
 Null texts count as empty (no ids). Repeated rows are encoded row by row.
 """
@@ -65,6 +67,8 @@ class Codec:
         ranked = [plain.get(a + b, -1) for a, b in merges]
         if not same or ranked != sorted(set(ranked)) or len(ranked) + 256 != len(plain):
             raise ValueError(f"{path}: not a plain byte-level BPE file")
+        if any(_CERTAIN.search(x) for x in self.special):
+            raise ValueError(f"{path}: a special token that a certain edge would cut")
         import tiktoken
 
         ranks = {bytes(byte[c] for c in k): v for k, v in plain.items()}
@@ -110,6 +114,8 @@ def cut_points(data: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
     return np.unique(at[at < len(data)])
 
 
+_NONE = np.zeros(0, np.uint32)
+CONTEXT = 24  # characters of a piece beside a join that are compared
 _CERTAIN = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
@@ -122,13 +128,13 @@ def last_certain(text: str) -> int:
 
 
 class ChunkEncoder:
-    """Encodes texts by reused chunks; exact. `hits` and `misses` count chunks and joins."""
+    """Encodes texts by reused chunks; exact. `hits` and `misses` count chunks and joins, `repairs` joins that didn't agree."""
 
     def __init__(self, engine: Codec, most: int = CACHE_BYTES):
         self.engine, self.most, self.size = engine, most, 0
         self.young: dict = {}
         self.old: dict = {}
-        self.hits = self.misses = 0
+        self.hits = self.misses = self.repairs = 0
 
     def _kept(self, key, make):
         found = self.young.get(key)
@@ -140,7 +146,7 @@ class ChunkEncoder:
             else:
                 self.hits += 1
             self.young[key] = found
-            self.size += 400 + 4 * len(key if isinstance(key, bytes) else key[1])
+            self.size += 400 + 4 * (len(key) if isinstance(key, bytes) else sum(map(len, key[1:])))
             if self.size > self.most:
                 self.old, self.young, self.size = self.young, {}, 0
         else:
@@ -152,32 +158,49 @@ class ChunkEncoder:
         return ids, ",".join(map(str, ids.tolist())).encode()
 
     def _chunk(self, raw: bytes):
-        """(head, core, tail): core is None where the chunk has no two certain edges."""
+        """(head, core, tail, first, last): core is None where the chunk has no two certain edges; first and last are its outer pieces, or what of them lies within CONTEXT characters."""
         text = raw.decode()
         found = _CERTAIN.search(text)
-        if found is None or (last := last_certain(text)) <= found.start():
-            return text, None, ""
-        first = found.start()
-        return text[:first], self._ids(text[first:last]), text[last:]
+        if found is None or (end := last_certain(text)) <= found.start():
+            return text, None, "", "", ""
+        begin = found.start()
+        core = text[begin:end]
+        first, last = _CERTAIN.search(core, 1), last_certain(core)
+        first = core[: min(CONTEXT, first.start() if first else len(core))]
+        last = core[max(last, len(core) - CONTEXT, 0) :]
+        return text[:begin], self._ids(core), text[end:], first, last
+
+    def _word(self, key):
+        return self.engine.whole(key[1])
 
     def _join(self, key):
-        return self._ids(key[1])
-
-    def pieces(self, raw: bytes, cuts) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Ids of a join (before, text, behind), agreed with those of the pieces around it; None if they don't agree."""
+        _, before, text, behind = key
+        left, right = (self._kept((1, x), self._word) if x else _NONE for x in (before, behind))
+        ids = self.engine.whole(before + text + behind)
+        a, b = len(left), len(ids) - len(right)
+        if a <= b and (ids[:a] == left).all() and (ids[b:] == right).all():
+            return ids[a:b], ",".join(map(str, ids[a:b].tolist())).encode()
+        self.repairs += 1
+        return ()
+
+    def pieces(self, raw: bytes, cuts) -> list[tuple[np.ndarray, bytes]]:
         """Ids of one text, in pieces, each as an array and as decimal text."""
-        waiting, begin = "", 0
+        done: list[tuple[np.ndarray, bytes]] = []
+        waiting, begin, before = "", 0, ""
         for end in [*cuts, len(raw)]:
-            head, core, tail = self._kept(raw[begin:end], self._chunk)
+            head, core, tail, first, last = self._kept(raw[begin:end], self._chunk)
             begin = end
             waiting += head
             if core is None:
                 continue
             if waiting:
-                yield self._kept((0, waiting), self._join)
-            yield core
-            waiting = tail
+                done.append(self._kept((0, before, waiting, first), self._join))
+            done.append(core)
+            waiting, before = tail, last
         if waiting:
-            yield self._kept((0, waiting), self._join)
+            done.append(self._kept((0, before, waiting, ""), self._join))
+        return done if all(done) else [self._ids(raw.decode())]
 
     def encode_column(self, column) -> Iterator[tuple[bytes, list[tuple[np.ndarray, bytes]]]]:
         """(text as bytes, its pieces) for each row of an Arrow string column."""
@@ -190,7 +213,7 @@ class ChunkEncoder:
         for row, (lo, hi) in enumerate(zip(lows.tolist(), highs.tolist())):
             begin, end = int(offsets[row]), int(offsets[row + 1])
             text = raw[begin:end]
-            yield text, list(self.pieces(text, (cuts[lo:hi] - begin).tolist())) if text else []
+            yield text, self.pieces(text, (cuts[lo:hi] - begin).tolist()) if text else []
 
 
 _encoders: dict[str, ChunkEncoder] = {}

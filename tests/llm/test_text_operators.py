@@ -234,6 +234,33 @@ def test_bpe(docs, by_id, reference, empty):
     assert {r.doc_id: r.decoded for r in bpe.decode_documents(encoded, tokenizer_path()).collect()} == {d: x or "" for d, x in by_id.items()}
 
 
+def test_bpe_of_random_unicode(reference):
+    """Any code points, and what the pre-tokeniser treats apart, against the tokenizers library."""
+    import random
+
+    import pyarrow as pa
+
+    r, (t, _) = random.Random(8), reference
+    bits = ["the", "Word", "don't", "'s", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "7", "٣", "é", "e\u0301", "日本", "😀", "-", "<|endoftext|>", "<|endo", "ß", "\r\n", "_", "x" * 40]
+    texts = ["".join(r.choice(bits) if r.random() < 0.9 else chr(r.choice([r.randrange(1, 0x3000), r.randrange(0xE000, 0x11000), r.randrange(0x1F000, 0x1FFFF)])) for _ in range(r.randint(0, 200))) for _ in range(400)]
+    texts += [" ".join(r.choice(["alpha", "beta", "gamma9", "é", "x" * 60]) for _ in range(3000))]
+    e = bpe.ChunkEncoder(bpe.codec(tokenizer_path()))
+    for text, (_, got) in zip(texts, e.encode_column(pa.array(texts))):
+        assert bpe.joined(got).tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert e.repairs == 0
+
+
+def test_joins_that_disagree_are_encoded_whole(monkeypatch):
+    """With edges that aren't certain, agreement with the pieces around a join is what saves the result."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "_CERTAIN", bpe.re.compile("(?<=[a-z])(?=[a-z])"))
+    monkeypatch.setattr(bpe, "last_certain", lambda text: next((i for i in range(len(text) - 1, 0, -1) if text[i - 1].isalpha() and text[i].isalpha()), -1))
+    e = bpe.ChunkEncoder(bpe.codec(tokenizer_path()))
+    text = "".join(f"someunbrokenletters{chr(97 + i % 26)}" for i in range(400))
+    assert list(e.encode_column(pa.array([text]))) and e.repairs > 0
+
+
 def test_chunks_are_reused():
     import pyarrow as pa
 
