@@ -8,7 +8,8 @@ A shard is one row of the Parquet files: the ids as a wavelet matrix (one
 bit-plane a bit of an id, most significant first; each level keeps the zeros
 before the ones of the level above), rank directories, and the ids' documents.
 From a shard alone: access(i), rank(symbol, i), count(symbol), select(symbol, k),
-and all ids at once.
+occurrences(symbol), and all ids at once. count_tokens() and find_token() look ids
+up in all shards of a folder.
 
 Null texts count as empty: the document has the end id alone. Rows with equal
 doc_id stay in one shard sequence, ordered by text.
@@ -91,18 +92,46 @@ class WaveletMatrix:
     def count(self, symbol: int) -> int:
         return self.rank(symbol, self.n)
 
+    def _find(self, level: int, k: int, one: int) -> int:
+        """Position of the k-th (from 0) bit of a level that equals `one`: its block by the directory, then its byte, then its bit."""
+        plane, ranks = self.planes[level], self.ranks[level].astype(np.int64)
+        before = ranks if one else np.arange(len(ranks)) * (8 * BLOCK) - ranks
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        part = plane[block * BLOCK : (block + 1) * BLOCK]
+        bits = np.unpackbits(part) == one
+        return block * BLOCK * 8 + int(np.flatnonzero(bits)[k - int(before[block])])
+
     def select(self, symbol: int, k: int) -> int:
-        """Position of the k-th occurrence (from 0) of symbol, or -1."""
+        """Position of the k-th occurrence (from 0) of symbol, or -1: down the levels to the symbol's run, and back up to its place."""
         if k < 0 or k >= self.count(symbol):
             return -1
-        low, high = 0, self.n  # the least i with rank(symbol, i) > k, less one
-        while low < high:
-            mid = (low + high) // 2
-            if self.rank(symbol, mid) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low - 1
+        begin, depth = 0, len(self.zeros)
+        for level, zeros in enumerate(self.zeros):
+            ones = self._ones(level, begin)
+            begin = zeros + ones if symbol >> (depth - 1 - level) & 1 else begin - ones
+        i = begin + k
+        for level in reversed(range(depth)):
+            one = symbol >> (depth - 1 - level) & 1
+            i = self._find(level, i - self.zeros[level] if one else i, one)
+        return i
+
+    def occurrences(self, symbol: int) -> np.ndarray:
+        """All positions of symbol, in order."""
+        begin, depth = 0, len(self.zeros)
+        end = self.n
+        if symbol >> depth:
+            return np.zeros(0, np.int64)
+        for level, zeros in enumerate(self.zeros):
+            a, b = self._ones(level, begin), self._ones(level, end)
+            begin, end = (zeros + a, zeros + b) if symbol >> (depth - 1 - level) & 1 else (begin - a, end - b)
+        at = np.arange(begin, end)
+        for level in reversed(range(depth)):
+            if not len(at):
+                break
+            one = symbol >> (depth - 1 - level) & 1
+            bits = np.unpackbits(self.planes[level], count=self.n) == one
+            at = np.flatnonzero(bits)[at - self.zeros[level] if one else at]
+        return at
 
     def all(self) -> np.ndarray:
         """All ids, the levels undone from the last to the first."""
@@ -169,7 +198,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                ids = WaveletMatrix(r["n_tokens"], r["planes"], r["zeros"], r["ranks"]).all().astype("<u4")
+                ids = _of_shards(r).all().astype("<u4")
                 lengths = np.array(r["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 sums = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends.tolist(), lengths.tolist())]
@@ -179,6 +208,39 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts) if shard_count_is_small(starts) else starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _of_shards(row: dict) -> WaveletMatrix:
+    return WaveletMatrix(row["n_tokens"], row["planes"], row["zeros"], row["ranks"])
+
+
+def count_tokens(spark: SparkSession, path: str, symbols: list[int]) -> DataFrame:
+    """token_id, n: occurrences of each of a few ids in the files, by rank alone; nothing is decoded."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m = _of_shards(batch.slice(i, 1).to_pylist()[0])
+                yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int64()), pa.array([m.count(s) for s in symbols], pa.int64())], names=["token_id", "n"])
+
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).select("n_tokens", "planes", "zeros", "ranks")
+    return shards.mapInArrow(run, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+
+
+def find_token(spark: SparkSession, path: str, symbol: int) -> DataFrame:
+    """doc_id, at: the documents that hold an id, and its places in each, by select."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                at = _of_shards(r).occurrences(symbol)
+                ends = np.cumsum(np.array(r["lengths"], np.int64))
+                own = np.searchsorted(ends, at, side="right")
+                ids = pa.array(r["doc_ids"], pa.int64()).take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at - np.concatenate([[0], ends])[own])], names=["doc_id", "at"])
+
+    return spark.read.schema(SHARD_SCHEMA).parquet(path).mapInArrow(run, "doc_id long, at long")
+
+
 def shard_count_is_small(starts: DataFrame, most: int = 200_000) -> bool:
     """Whether the table of shard starts (20 bytes a shard) may be broadcast; else it is joined by shuffle."""
     return starts.limit(most + 1).count() <= most

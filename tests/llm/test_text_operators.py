@@ -284,6 +284,10 @@ def test_wavelet_shards(spark, docs, by_id, reference, empty, tmp_path):
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(want), zlib.crc32(want.tobytes()))
         at += len(want)
     assert spark.read.parquet(path).count() > 4
+    every = Counter(x for d in ids for x in [*ids[d], 2])
+    common = [x for x, _ in every.most_common(3)] + [49_000]
+    assert {r.token_id: r.n for r in binary.count_tokens(spark, path, common).collect()} == {x: every[x] for x in common}
+    assert sorted(map(tuple, binary.find_token(spark, path, common[1]).collect())) == sorted((d, i) for d in ids for i, x in enumerate([*ids[d], 2]) if x == common[1])
     assert binary.token_shards(spark, empty, tokenizer_path()).count() == 0
 
 
@@ -298,6 +302,8 @@ def test_wavelet_matrix():
             assert m.access(int(i)) == s and m.rank(s, int(i)) == int((x[:i] == s).sum())
             places = np.flatnonzero(x == s)
             assert m.count(s) == len(places) and [m.select(s, k) for k in range(min(4, len(places)))] == places[:4].tolist() and m.select(s, len(places)) == -1
+            assert m.select(s, len(places) - 1) == places[-1] and (m.occurrences(s) == places).all()
+        assert len(m.occurrences(top + 3)) == m.count(top + 3) == 0
 
 
 # -- op6 --------------------------------------------------------------------
