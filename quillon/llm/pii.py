@@ -8,9 +8,13 @@ octets), equal values stay equal in every document, different ones different,
 and the holder of the key can undo it (`restore`).
 
 Kinds: email (letters and digits of the local part within their own classes),
-iban, card, ssn, ipv4, phone, date (1900 to 2099). Separators, lengths, domains,
-country codes and a card's first digit stay. What doesn't validate is left alone;
-a phone with a country code is replaced also outside the number plan, and stays outside.
+iban, card, ssn, ipv4, ipv6 (global unicast; the first group stays), phone, date
+(1900 to 2099, in figures or with an English month). Separators, lengths, domains,
+country codes and a card's first digit stay; names of months change their length.
+What doesn't validate is left alone; a phone with a country code is replaced also
+outside the number plan, and stays outside; one without needs the North American
+plan, or a trunk 0 and 10 or 11 digits in groups other than that plan's. Letters of an ipv6 address in
+both cases become lower case, which restore() can't undo.
 
 Null texts stay null with no findings. Offsets in `spans` are code points of the
 input. Repeated rows are handled row by row. One narrow pass; no shuffle.
@@ -22,6 +26,7 @@ import re
 from datetime import date
 from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,17 +34,23 @@ from pyspark.sql import DataFrame
 from .textops import sliced
 
 ROUNDS = 10
-KINDS = ["email", "iban", "card", "ssn", "ipv4", "phone", "date"]
+KINDS = ["email", "iban", "card", "ssn", "ipv4", "ipv6", "phone", "date"]
+# English names of months.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS)
+
 
 PATTERN = re.compile(
-    r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b)
-  | (?P<iban>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b)
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))
-  | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))
-  | (?P<card>(?<![\w+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]))
-  | (?P<phone>(?<![\w+])\+[0-9]{8,15}(?!\w|\.[0-9])|(?<![\w(+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])(?:[0-9]{2,4}[\x20.-]?){1,3}[0-9]{2,4}(?!\w))
+    rf"""
+    (?P<email>(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+-])?@(?:(?u:[^\W_])(?:(?u:[^\W_]|-)*(?u:[^\W_]))?\.)+(?:[A-Za-z]{{2,}}|(?u:[^\W\d_A-Za-z]{{2,}}))(?![A-Za-z0-9_]))
+  | (?P<iban>\b[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?\b)
+  | (?P<date>(?<![\w./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}})(?![\w/-]|\.[0-9])
+      |(?<![\w./-])(?:[0-9]{{1,2}}\x20(?i:{_MONTH})\.?,?\x20[0-9]{{4}}|(?i:{_MONTH})\.?\x20[0-9]{{1,2}},?\x20[0-9]{{4}})(?![\w-]))
+  | (?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
+  | (?P<ipv4>(?<![\w.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?!\w|\.[0-9]))
+  | (?P<ipv6>(?<![\w:.])[23][0-9A-Fa-f]{{3}}(?::[0-9A-Fa-f]{{0,4}}){{2,7}}(?![\w:]))
+  | (?P<card>(?<![\w+-])[0-9](?:[\x20-]?[0-9]){{12,18}}(?![\w-]))
+  | (?P<phone>(?<![\w+])\+[0-9]{{8,15}}(?!\w|\.[0-9])|(?<![\w+])(?:\+[0-9]{{1,3}}[\x20.-]?)?(?:\([0-9]{{2,4}}\)[\x20.-]?|[0-9]{{2,4}}[\x20.-])(?:[0-9]{{2,4}}[\x20.-]?){{1,3}}[0-9]{{2,4}}(?!\w))
     """,
     re.X | re.A,
 )
@@ -135,10 +146,30 @@ class Pseudonyms:
             return None
         return ".".join(map(str, self.walk("ipv4", x, 1 << 32, routable, back).to_bytes(4, "big")))
 
+    def _ipv6(self, value: str, back: bool) -> str | None:
+        try:
+            IPv6Address(value)
+        except ValueError:
+            return None
+        head, rest = value[:4], value[4:]
+        digits = rest.replace(":", "")
+        if not digits:
+            return None
+        upper = rest == rest.upper() and rest != rest.lower()
+        # a pseudonym in capitals must show it
+        valid = (lambda x: not f"{x:x}".isdigit()) if upper else None
+        x = self.walk(f"ipv6{'A' if upper else 'a'}{head.lower()}{len(digits)}", int(digits, 16), 16 ** len(digits), valid, back)
+        new = f"{x:0{len(digits)}x}"
+        filled = iter(new.upper() if upper else new)
+        return head + "".join(c if c == ":" else next(filled) for c in rest)
+
     def _phone(self, value: str, back: bool) -> str | None:
         digits = only_digits(value)
         if not 8 <= len(digits) <= 15:
             return None
+        if value[0] != "+" and digits[0] == "0" and digits[1] != "0" and [len(x) for x in re.findall("[0-9]+", value)] != [3, 3, 4]:
+            # a national number with its trunk prefix; the beginning of the area code stays
+            return refill(value, digits[:2] + self._digits("trunk" + digits[:2], digits[2:], back)) if len(digits) in (10, 11) else None
         code = re.match(r"\+([0-9]{1,3})", value)
         country = code[1] if code else ""
         if country.startswith("1") and len(digits) == 11:
@@ -153,14 +184,36 @@ class Pseudonyms:
             return None
         return refill(value, country + self._digits("phone" + ("1" if north_american else country), rest, back, within))
 
+    def _named(self, value: str, back: bool) -> str | None:
+        """A date with a month's name."""
+        name, (day, year) = re.search("[A-Za-z]+", value)[0], re.findall("[0-9]+", value)
+        month = next(i for i, m in enumerate(MONTHS) if m[:3].lower() == name[:3].lower())
+        short, padded = name.lower() != MONTHS[month].lower(), day[0] == "0"
+        try:
+            when = date(int(year), month + 1, int(day))
+        except ValueError:
+            return None
+        if not FIRST_DAY <= when.toordinal() <= LAST_DAY:
+            return None
+        # what a style can't show (a short May, a padded day of two digits) isn't among its pseudonyms
+        of = lambda x: date.fromordinal(FIRST_DAY + x)
+        valid = (lambda x: (not short or of(x).month != 5) and (not padded or of(x).day < 10)) if short or padded else None
+        new = of(self.walk("date" + "s" * short + "p" * padded, when.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, valid, back))
+        called = MONTHS[new.month - 1][: 3 if short else None]
+        called = called.upper() if name.isupper() else called.lower() if name.islower() else called
+        shown = iter([f"{new.day:02d}" if padded else str(new.day), f"{new.year:04d}"])
+        return re.sub("[A-Za-z]+|[0-9]+", lambda m: called if m[0][0].isalpha() else next(shown), value)
+
     def _date(self, value: str, back: bool) -> str | None:
-        if value[4:5] == "-":
+        if re.search("[A-Za-z]", value):
+            return self._named(value, back)
+        if value[4:5] in ("-", "/"):
             order = (0, 1, 2)
-            parts = value.split("-")
+            parts = re.split("[-/]", value)
         else:
             parts = re.split(r"[/.]", value)
             order = (2, 1, 0)
-        for o in (order, (2, 0, 1)) if "/" in value else (order,):
+        for o in (order, (2, 0, 1)) if value[2:3] == "/" else (order,):
             try:
                 day = date(*(int(parts[i]) for i in o))
             except ValueError:
@@ -265,6 +318,11 @@ def pseudonymise(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "t
     return docs.select(id, text).mapInArrow(run, f"doc_id long, text string, {columns}, spans string")
 
 
+def restore(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same columns with the values that pseudonymise() replaced under this key."""
+    return pseudonymise(docs, key, id, text, back=True)
+
+
 _SOME = re.compile(r"[0-9@]")
 
 

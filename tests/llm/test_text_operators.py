@@ -341,6 +341,54 @@ def test_phones_outside_the_number_plan():
     assert len({p.rewrite(x)[0] for x in some}) == len(some)
 
 
+def planted(r):
+    """A random value with its kind, or None where it isn't one; made without the operator's rules."""
+    import datetime
+    import ipaddress
+
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    kind = r.choice(["email", "card", "ssn", "ipv4", "ipv6", "phone", "date", "none"])
+    if kind == "email":
+        return kind, f"{r.choice(['ana', 'Bo.b', 'x_9', 'a+tag'])}{r.randrange(99)}@{r.choice(['mail', 'a-b', 'bücher', 'почта'])}.{r.choice(['com', 'co.uk', 'example', 'рф'])}"
+    if kind == "card":
+        body = r.choice("3456") + d(r.choice([13, 14, 15]))
+        check = next(c for c in "0123456789" if sum(int(x) if i % 2 == 0 else sum(divmod(int(x) * 2, 10)) for i, x in enumerate((body + c)[::-1])) % 10 == 0)
+        return kind, body + check
+    if kind == "ssn":
+        return kind, f"{r.randrange(1, 666):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}"
+    if kind == "ipv4":
+        return kind, str(ipaddress.IPv4Address(r.randrange(0x0B000000, 0x7F000000)))
+    if kind == "ipv6":
+        a = ipaddress.IPv6Address(0x20 << 120 | r.getrandbits(120) & ~(0xFFFF << 48))
+        return kind, r.choice([str(a), a.exploded, str(a).upper() if any(c.isalpha() for c in str(a)[4:]) else str(a)])
+    if kind == "phone":
+        return kind, r.choice([f"+44{r.randrange(10**9, 10**10)}", f"+1 ({r.randrange(200, 999)}) {r.randrange(200, 999)}-{d(4)}", f"020 {r.randrange(1000, 9999)} {d(4)}", f"06 {d(2)} {d(2)} {d(2)} {d(2)}", f"{r.randrange(200, 999)}-{r.randrange(200, 999)}-{d(4)}"])
+    if kind == "date":
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(days=r.randrange(73000))
+        return kind, r.choice([day.isoformat(), day.strftime("%Y/%m/%d"), day.strftime("%d/%m/%Y"), day.strftime("%d.%m.%Y"), f"{day.day} {day:%B} {day.year}", f"{day:%b} {day.day}, {day.year}", f"{day:%B} {day:%d} {day.year}", f"{day.day} {day:%b} {day.year}".upper()])
+    return None, r.choice(["2020-13-45", "31 April 1985", "12:30:45", "4099647182869902", "version 4.0.1", "999.1.1.1", "2001:zz::1", "001 234", "0000 0000 00", "mayor 3, 1990", "12 34", "v2001:db8"])
+
+
+def test_personal_data_against_what_was_planted():
+    import random
+
+    r, p = random.Random(17), pii.Pseudonyms(b"key")
+    for _ in range(400):
+        values = [planted(r) for _ in range(6)]
+        text, want = "", []
+        for kind, value in values:
+            text += r.choice(["see ", "voici: ", "\n(", "日本 ", "it is "])
+            if kind:
+                want.append((kind, len(text), len(text) + len(value)))
+            text += value + r.choice([", and", "; ok", " done", ")\n"])
+        new, found = p.rewrite(text)
+        assert found == want, text
+        assert all(v not in new for k, v in values if k and len(v) > 8)
+        again = p.rewrite(new)[1]
+        assert [f[0] for f in again] == [f[0] for f in want], (text, new)
+        assert p.rewrite(new, back=True)[0] == text
+
+
 # -- op7 --------------------------------------------------------------------
 
 
