@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_count, written
+from .common import file_count, prepare, written
 from .components import groups
 
 TOP = 20
@@ -257,6 +257,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     element = vectors.schema[vector].dataType.elementType.typeName()
     kind = np.dtype(np.float32 if element == "float" else np.float64)
     spark = vectors.sparkSession
+    prepare(spark)
     rows = usable(vectors, key, vector)
     files = file_count(vectors)
     unique = written(distinct_vectors(rows, kind), "vectors", files=files)

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import scratch_path
+from .common import prepare, scratch_path
 from .textops import sliced
 
 SHARD_TOKENS = 2 << 20
@@ -154,6 +154,7 @@ def rank_directory(plane: np.ndarray) -> np.ndarray:
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the shards of docs, in ascending key order, to a new folder."""
+    prepare(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
@@ -186,6 +187,7 @@ ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens"
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32 of each document."""
+    prepare(spark)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     # ids before each part, then before each shard of a part: one row a shard, never one a document
     sizes = shards.select("part", "seq", "n_tokens")
@@ -214,6 +216,7 @@ def _of_shards(row: dict) -> WaveletMatrix:
 
 def count_tokens(spark: SparkSession, path: str, symbols: list[int]) -> DataFrame:
     """token_id, n: occurrences of each of a few ids in the files, by rank alone; nothing is decoded."""
+    prepare(spark)
 
     def run(batches):
         for batch in batches:
@@ -227,6 +230,7 @@ def count_tokens(spark: SparkSession, path: str, symbols: list[int]) -> DataFram
 
 def find_token(spark: SparkSession, path: str, symbol: int) -> DataFrame:
     """doc_id, at: the documents that hold an id, and its places in each, by select."""
+    prepare(spark)
 
     def run(batches):
         for batch in batches:

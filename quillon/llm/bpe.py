@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import prepare
 from .textops import flat, sliced
 
 # Fixed value: the pre-tokeniser's pattern of byte-level BPE files with use_regex.
@@ -232,6 +233,7 @@ def joined(pieces: list[tuple[np.ndarray, bytes]]) -> np.ndarray:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """docs with an added array<int> column of ids. Every other column stays."""
+    prepare(docs.sparkSession)
     schema = docs.drop(into).schema.add(into, T.ArrayType(T.IntegerType()))
     names = [x for x in docs.columns if x != into]
 
@@ -248,6 +250,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", into: str =
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """encoded with an added string column: the text of the ids, special ids included."""
+    prepare(encoded.sparkSession)
     schema = encoded.drop(into).schema.add(into, "string")
     names = [x for x in encoded.columns if x != into]
 
@@ -262,6 +265,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", into
 
 def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes. One narrow pass, no shuffle."""
+    prepare(docs.sparkSession)
 
     def run(batches):
         e = encoder(path)

@@ -16,14 +16,29 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Batches between the JVM and Python are kept to some MB, unless the session says otherwise."""
+def prepare(spark: SparkSession) -> None:
+    """What every operator with Python workers needs: the package on the executors, and batches between the JVM and Python of some MB, unless the session says otherwise."""
     ship(spark)
     if spark.conf.get(BATCH_BYTES) == "67108864b":  # the default
         spark.conf.set(BATCH_BYTES, "4m")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

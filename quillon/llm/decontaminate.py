@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 WINDOW = 13
 MOST_BROADCAST_SEEDS = 200_000
@@ -182,31 +182,35 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs without the contaminated documents (by key), all columns kept."""
-    bad = hits(docs, benchmark, key=key, **options).where(is_contaminated()).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("__bad")), "left_anti")
+    (name,) = fresh(docs, "__bad")
+    bad = hits(docs, benchmark, key=key, **options).where(is_contaminated()).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad[name]), "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs whose hit words are cut out of the text, each with the separators after it. Needs distinct keys."""
-    found = hits(docs, benchmark, key=key, text=text, **options).where("n_hit > 0").select(F.col("doc_id").alias("__key"), F.col("spans").alias("__spans"))
+    found = hits(docs, benchmark, key=key, text=text, **options).where("n_hit > 0").select("doc_id", "spans")
     return _cut(docs, found, key, text)
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """keep_clean(), with the hit words of the documents that stay cut out as by without_spans(); keys may repeat."""
-    keyed = docs.withColumn("__id", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
-    found = hits(keyed, benchmark, key="__id", text=text, **options).where("n_hit > 0")
-    found = written(found.groupBy(F.col("doc_id").alias("__key")).agg(F.first("spans").alias("__spans"), F.max(is_contaminated()).alias("bad")), "benchmark-hits")
-    bad = found.where("bad").select(F.col("__key.key").alias("__bad")).distinct()
-    left = keyed.join(bad, keyed[key].eqNullSafe(F.col("__bad")), "left_anti")
-    return _cut(left, found.where("not bad").drop("bad"), "__id", text).drop("__id")
+    own, name = fresh(docs, "__id", "__bad")
+    keyed = docs.withColumn(own, F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
+    found = hits(keyed, benchmark, key=own, text=text, **options).where("n_hit > 0")
+    found = written(found.groupBy("doc_id").agg(F.first("spans").alias("spans"), F.max(is_contaminated()).alias("bad")), "benchmark-hits")
+    bad = found.where("bad").select(F.col("doc_id.key").alias(name)).distinct()
+    left = keyed.join(bad, keyed[key].eqNullSafe(bad[name]), "left_anti")
+    return _cut(left, found.where("not bad").drop("bad"), own, text).drop(own)
 
 
 def _cut(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """docs without the words of found's __spans, by key."""
+    """docs without the words of found's spans, by key (found's doc_id)."""
     one = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+    other, spans = fresh(docs, "__key", "__spans")
     parts = F.regexp_extract_all(F.col(text), F.lit(one), F.lit(0))
     head = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    kept = F.filter(parts, lambda _, i: ~F.exists("__spans", lambda s: (i >= s["lo"]) & (i < s["hi"])))
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("__key")), "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), F.concat(head, F.array_join(kept, ""))).otherwise(F.col(text))).select(*docs.columns)
+    kept = F.filter(parts, lambda _, i: ~F.exists(spans, lambda s: (i >= s["lo"]) & (i < s["hi"])))
+    found = found.select(F.col("doc_id").alias(other), F.col("spans").alias(spans))
+    joined = docs.join(found, docs[key].eqNullSafe(found[other]), "left")
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), F.concat(head, F.array_join(kept, ""))).otherwise(F.col(text))).select(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, file_count, plan_bytes, written
+from .common import discard, file_count, fresh, plan_bytes, prepare, written
 from .components import groups
 from .neardup import OVER, SHINGLE_WORDS, UNDER, in_blocks, set_keys, two_blocks, verified
 from .textops import U64, Words, distinct_pairs, flat, mix, shingles_of, sliced, words_of
@@ -307,6 +307,7 @@ def later_matches(rows: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document with an id: doc_id, n_lines (those with words), kept (their numbers that stay, sorted). shingle: words of a token."""
+    prepare(docs.sparkSession)
     files = file_count(docs)
     level = levels(token_counts(docs, text, shingle))
     buckets = min(MOST_BUCKETS, max(64, plan_bytes(docs) // BUCKET_BYTES))
@@ -334,8 +335,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """docs with the text cut down to the kept lines, all columns kept. A document with words that keeps none of them goes."""
-    found = kept_lines(docs, key, text, shingle).select(F.col("doc_id").alias("__key"), "n_lines", "kept").groupBy("__key").agg(F.max(F.struct("n_lines", "kept")).alias("__x"))
-    rows = docs.join(found, docs[key].eqNullSafe(F.col("__key")), "left").select(*docs.columns, F.col("__x.n_lines").alias("__n"), F.col("__x.kept").alias("__kept"))
+    own, both, count, stay = fresh(docs, "__key", "__x", "__n", "__kept")
+    found = kept_lines(docs, key, text, shingle).groupBy(F.col("doc_id").alias(own)).agg(F.max(F.struct("n_lines", "kept")).alias(both))
+    rows = docs.join(found, docs[key].eqNullSafe(found[own]), "left").select(*docs.columns, F.col(f"{both}.n_lines").alias(count), F.col(f"{both}.kept").alias(stay))
     names = list(docs.columns)
     place = names.index(text)
 
@@ -346,7 +348,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
             w = words_of(data, at if len(at) > 1 else np.zeros(1, np.int64)).count if len(data) else np.zeros(0, np.int64)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
             raw, texts, stays = data.tobytes(), [], []
-            for row, (n, kept, old) in enumerate(zip(part.column("__n").to_pylist(), part.column("__kept").to_pylist(), part.column(text).to_pylist())):
+            for row, (n, kept, old) in enumerate(zip(part.column(count).to_pylist(), part.column(stay).to_pylist(), part.column(text).to_pylist())):
                 if kept is None or n == len(kept):
                     texts.append(old)
                     stays.append(True)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, file_count, written
+from .common import discard, file_count, fresh, prepare, written
 from .components import components, groups, roots_of
 from .textops import U64, flat, mix, shingles_of, sliced, words_of
 
@@ -306,6 +306,7 @@ def verified_links(members: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The result described above."""
+    prepare(docs.sparkSession)
     files = file_count(docs)
     profiles = written(profile(docs, key, text), "profiles", files=files)
     counted = profiles.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -329,5 +330,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but the least id of each class, all columns kept."""
-    later = classes(docs, key, text).where("class_id <> doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, docs[key].eqNullSafe(F.col("__later")), "left_anti")
+    (name,) = fresh(docs, "__later")
+    later = classes(docs, key, text).where("class_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(later, docs[key].eqNullSafe(later[name]), "left_anti")

@@ -31,6 +31,7 @@ from ipaddress import IPv6Address
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import prepare
 from .textops import sliced
 
 ROUNDS = 10
@@ -298,6 +299,7 @@ QUERY_KEY = b"quillon-demonstration-key"
 
 def pseudonymise(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """One row per document: doc_id, text (rewritten), n_<kind> for each kind, spans (kind:start:end, comma-joined, of the input)."""
+    prepare(docs.sparkSession)
     columns = ", ".join(f"n_{k} long" for k in KINDS)
 
     def run(batches):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Dfa, Scanner, byte_set, combined, reversed_dfa, _sre
+from .common import prepare
 from .textops import flat, sliced
 
 
@@ -152,6 +153,7 @@ def run_end(raw: bytes, begin: int, body: bytes) -> int:
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id and spans, an array of (kind, start, end)."""
+    prepare(docs.sparkSession)
     compiled = SecretScanner(rules)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

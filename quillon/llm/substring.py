@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_count, written
+from .common import file_count, fresh, prepare, written
 from .losertree import common, decoded, front_coded, merged
 from .textops import U64, flat, mix, powers, sliced
 
@@ -414,6 +414,7 @@ def marked_hot(left: DataFrame, hot: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, marks: for each document with repeats its settled anchors (start, -1) and matched runs (start, end)."""
+    prepare(docs.sparkSession)
     files = file_count(docs)
     settled = written(settle(anchor_rows(docs, key, text)), "anchors", files=files)
     left = settled.where("state = 0").select("h", "doc", "pos")
@@ -429,14 +430,15 @@ def covered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def cut(docs: DataFrame, key: str, text: str, columns: list[str], make, schema) -> DataFrame:
     """docs joined with what is covered; make(batch part, data, offsets, removed mask) gives the output columns."""
-    marks = covered(docs, key, text).select(F.col("doc").alias("__doc"), F.col("marks").alias("__marks"))
-    rows = docs.join(marks, docs[key] == F.col("__doc"), "left").select(*columns, "__marks")
+    own, listed = fresh(docs, "__doc", "__marks")
+    marks = covered(docs, key, text).select(F.col("doc").alias(own), F.col("marks").alias(listed))
+    rows = docs.join(marks, docs[key] == marks[own], "left").select(*columns, listed)
 
     def run(batches):
         for part in sliced(batches, text):
             data, offsets = flat(part.column(text))
             change = np.zeros(len(data) + 1, np.int64)
-            marked = part.column("__marks")
+            marked = part.column(listed)
             if marked.null_count < part.num_rows:
                 a = Anchors(data, offsets)
                 each = marked.flatten()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees, boosted, isotonic
-from .common import file_count, written
+from .common import discard, file_count, prepare, written
 from .textops import LOWER, U64, flat, sliced, span_hashes, words_of
 
 SAMPLE = 20_000
@@ -225,6 +225,7 @@ def distinct_terms(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Model:
+    prepare(docs.sparkSession)
     sample = written(labelled_sample(docs, labels, key, text, most), "toxicity-sample", files=file_count(docs))
     terms, weights = lexicon(sample)
     model = Model(terms, weights)
@@ -235,6 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), part.column("toxic"), part.column("part"), part.column("k").cast(pa.string())], names=["x", "toxic", "part", "k"])
 
     got = sample.where("part > 0").mapInArrow(features, "x array<double>, toxic int, part int, k string").toPandas().sort_values("k", kind="stable")
+    discard(sample)
     if not len(got):
         return model
     x, y, part = np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(float), got["part"].to_numpy()
@@ -246,18 +248,20 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+    """One row per document: doc_id, held_out (false without an id), score, predicted."""
+    prepare(docs.sparkSession)
 
     def run(batches):
         for part in sliced(batches, text):
             yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(model.scores(part.column(text)), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(key, text).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs whose score is below 0.5, all columns kept."""
+    prepare(docs.sparkSession)
 
     def run(batches):
         for part in sliced(batches, text):
