@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe, decontaminate, linedup, neardup, toxicity
-from quillon.llm.common import table, written
+from quillon.llm.common import discard, table, written
 from quillon.llm.queries import tokenizer_path
 
-#: The stages learn from labels and compare texts with each other: not expressible in SQL. Tested against brute force.
+#: The stages learn from labels and compare texts with each other: not expressible in SQL. tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
@@ -55,5 +55,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", "snappy")
+        given, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", "snappy")
+        discard(given)
     return written(STAGES[-1][1](spark, docs, sf_dir), "stage-tokens", "snappy")
