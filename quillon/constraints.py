@@ -79,6 +79,17 @@ def orphans(child: DataFrame, parent: DataFrame, columns, parents) -> DataFrame:
     return whole.join(keys, reduce(lambda a, b: a & b, (whole[c] == keys[f"__p{i}"] for i, c in enumerate(columns))), "left_anti")
 
 
+def key_name(k: ForeignKey) -> str:
+    return f"foreign_key:{','.join(k.columns)}"
+
+
+def constraint_names(c: Constraints) -> set[str]:
+    """The names of a table's constraints, as errors give them."""
+    out = {"not_null"} if c.not_null or c.primary else set()
+    out |= {"primary"} if c.primary else set()
+    return out | {f"unique:{','.join(u)}" for u in c.unique} | {f"check:{n}" for n in c.checks} | {key_name(k) for k in c.foreign_keys}
+
+
 def validate(df: DataFrame, c: Constraints, tables=None, skip: frozenset = frozenset()) -> None:
     """Raise for the first constraint that df breaks. tables: parent frames by name. skip: names that are deferred now."""
     found: list[tuple[str, DataFrame]] = []
@@ -89,7 +100,7 @@ def validate(df: DataFrame, c: Constraints, tables=None, skip: frozenset = froze
     found += [(f"unique:{','.join(u)}", repeated_keys(df, u)) for u in c.unique]
     found += [(f"check:{n}", failing_check(df, f)) for n, f in c.checks.items()]
     if tables is not None:
-        found += [(f"foreign_key:{','.join(k.columns)}", orphans(df, tables(k.table), k.columns, k.parent)) for k in c.foreign_keys]
+        found += [(key_name(k), orphans(df, tables(k.table), k.columns, k.parent)) for k in c.foreign_keys if key_name(k) not in skip]
     for name, rows in found:
         if name not in skip and not rows.isEmpty():
             raise ConstraintError(f"constraint {name} is broken")
@@ -104,11 +115,14 @@ def propagate(before: DataFrame, after: DataFrame, children: dict[str, tuple[Dat
         moved = olds.join(news, olds[record] == news["__r"], "left").withColumn("__gone", F.col("__r").isNull()).drop("__r", record)
         changed = reduce(lambda a, b: a | b, (~F.col(f"__o{i}").eqNullSafe(F.col(f"__n{i}")) for i in range(len(key.parent))))
         moved = moved.where(F.col("__gone") | changed)
-        hit = child.join(moved, reduce(lambda a, b: a & b, (child[c] == moved[f"__o{i}"] for i, c in enumerate(key.columns))), "left")
+        refers = reduce(lambda a, b: a & b, (child[c] == moved[f"__o{i}"] for i, c in enumerate(key.columns)))
+        hit = child.join(moved, refers & ~child["_deleted"] if "_deleted" in child.columns else refers, "left")
         touched = F.col("__gone").isNotNull()
         for gone, action in ((True, key.on_delete), (False, key.on_update)):
             which = touched & (F.col("__gone") == gone)
-            if action in ("restrict", "no_action"):
+            if action == "no_action":
+                continue  # the key itself is tested once all actions are done
+            if action == "restrict":
                 if not hit.where(which).isEmpty():
                     raise ConstraintError(f"rows of {name} still refer to what was {'deleted' if gone else 'changed'}")
             elif action == "cascade" and gone:

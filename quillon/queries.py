@@ -428,6 +428,113 @@ def _constraint_cascade(e: Engine) -> DataFrame:
     return propagate(region, after, {"nation": (nation, key)})["nation"].select("n_nationkey", F.col("_deleted").alias("deleted"), F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
+def _stores(e: Engine, **tables) -> str:
+    """A folder of stores: name=(frame, constraints)."""
+    from .store import Store
+
+    folder = _scratch(e)
+    for name, (df, rules) in tables.items():
+        Store(e.spark, f"{folder}/{name}").create(df, rules)
+    return folder
+
+
+@query(
+    "constraint_cascade_chain",
+    """SELECT 'region' AS "table", count(*) AS n, count(CASE WHEN r_regionkey = 2 THEN 1 END) AS deleted FROM region
+       UNION ALL SELECT 'nation', count(*), count(CASE WHEN n_regionkey = 2 THEN 1 END) FROM nation
+       UNION ALL SELECT 'supplier', count(*), count(CASE WHEN n_regionkey = 2 THEN 1 END) FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
+def _constraint_cascade_chain(e: Engine) -> DataFrame:
+    """A region goes, with its nations and their suppliers, in one commit of three tables."""
+    from .constraints import Constraints, ForeignKey
+    from .store import Store
+
+    up = lambda c, t, p: Constraints(foreign_keys=(ForeignKey((c,), t, (p,), "cascade", "cascade"),))
+    folder = _stores(e, region=(e.table("region"), Constraints(primary=("r_regionkey",))), nation=(e.table("nation"), up("n_regionkey", "region", "r_regionkey")), supplier=(e.table("supplier"), up("s_nationkey", "nation", "n_nationkey")))
+    t = Store(e.spark, f"{folder}/region").begin()
+    t.delete_where({"r_regionkey": 2})
+    t.commit()
+    each = [Store(e.spark, f"{folder}/{n}").read().agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n"), F.count_if("_deleted").alias("deleted")) for n in ("region", "nation", "supplier")]
+    return each[0].union(each[1]).union(each[2])
+
+
+@query("constraint_deferred", "SELECT s_suppkey, CASE s_suppkey WHEN 0 THEN 'Supplier#1' WHEN 1 THEN 'Supplier#0' ELSE s_name END AS s_name, true AS refused FROM (SELECT s_suppkey, 'Supplier#' || s_suppkey AS s_name FROM supplier)")
+def _constraint_deferred(e: Engine) -> DataFrame:
+    """Two unique names are swapped: refused step by step, taken once the constraint is deferred to the commit."""
+    from .constraints import Constraints
+    from .errors import ConstraintError
+    from .store import Store
+
+    df = e.table("supplier").select("s_suppkey", F.concat(F.lit("Supplier#"), "s_suppkey").alias("s_name"))
+    store = Store(e.spark, _stores(e, supplier=(df, Constraints(unique=(("s_name",),)))) + "/supplier")
+    numbers = {r.s_suppkey: r["_record_number"] for r in store.read().where("s_suppkey < 2").collect()}
+    refused = False
+    t = store.begin(immediate=True)
+    try:
+        t.patch(numbers[0], {"s_name": "Supplier#1"})
+    except ConstraintError:
+        refused = True
+    t = store.begin(immediate=True)
+    t.set_deferred("unique:s_name")
+    t.patch(numbers[0], {"s_name": "Supplier#1"})
+    t.patch(numbers[1], {"s_name": "Supplier#0"})
+    t.commit()
+    return store.read().select("s_suppkey", "s_name", F.lit(refused).alias("refused"))
+
+
+@query(
+    "catalog_commit",
+    """SELECT 1 AS seq, 'region' AS "table", 1 AS n, count(*) AS nations_then, (SELECT count(*) FROM nation) + 1 AS nations_now FROM nation UNION ALL SELECT 1, 'nation', 1, count(*), count(*) + 1 FROM nation""",
+)
+def _catalog_commit(e: Engine) -> DataFrame:
+    """A child and its new parent in one commit, the catalog's log of it, and the catalog before and after."""
+    from .constraints import Constraints, ForeignKey
+    from .sources.catalog import Catalog
+    from .transactions import CatalogLog, CatalogTransaction
+
+    folder = _stores(e, region=(e.table("region"), Constraints(primary=("r_regionkey",))), nation=(e.table("nation"), Constraints(foreign_keys=(ForeignKey(("n_regionkey",), "region", ("r_regionkey",)),))))
+    t = CatalogTransaction(e.spark, folder)
+    t.table("nation").insert([{"n_nationkey": 1000, "n_name": "NEW", "n_regionkey": 77}])
+    t.table("region").insert([{"r_regionkey": 77, "r_name": "NEWER"}])
+    t.commit()
+    log, count = CatalogLog(e.spark, folder), {"aggregate": [{"$count": "n"}]}
+    then = Catalog(e.spark, folder).engine(at=1).find("nation", count).select(F.col("n").alias("nations_then"))
+    now = Catalog(e.spark, folder).engine(seq=1).find("nation", count).select(F.col("n").alias("nations_now"))
+    changed = log.changes().groupBy(F.col("seq").cast("int").alias("seq"), "table").agg(F.count(F.lit(1)).alias("n"))
+    return changed.crossJoin(then).crossJoin(now)  # one row each
+
+
+@query("row_history", "SELECT 1 AS txn, 'r0' AS s_name UNION ALL SELECT 3, 'r2' UNION ALL SELECT 4, 'r3' UNION ALL SELECT 5, 'r4'")
+def _row_history(e: Engine) -> DataFrame:
+    """A row after each commit that changed it: replaced, merged, patched; the second commit changed another row."""
+    from .store import Store
+
+    store = Store(e.spark, _scratch(e))
+    store.create(e.table("supplier").select("s_suppkey", F.lit("r0").alias("s_name"), "s_nationkey"))
+    for step in (lambda t: t.patch(2, {"s_nationkey": 1000}), lambda t: t.replace(1, {"s_suppkey": 0, "s_name": "r2"}), lambda t: t.merge_patch(1, {"s_name": "r3"}), lambda t: t.json_patch(1, [{"op": "replace", "path": "/s_name", "value": "r4"}])):
+        t = store.begin()
+        step(t)
+        t.commit()
+    return store.row_versions(1).select(F.col("txn").cast("int").alias("txn"), F.get_json_object("after", "$.s_name").alias("s_name"))
+
+
+@query("store_default_gc_backup", "SELECT 'kept' AS what, 1 AS n UNION ALL SELECT 'dropped', 2 UNION ALL SELECT 'rows', count(*) + 1 FROM region UNION ALL SELECT 'defaulted', 1 UNION ALL SELECT 'restored', count(*) FROM region")
+def _store_default_gc_backup(e: Engine) -> DataFrame:
+    from .constraints import Constraints
+    from .store import Store
+
+    store, copy = Store(e.spark, _scratch(e)), _scratch(e)
+    store.create(e.table("region"), Constraints(defaults={"r_name": "by default"}))
+    store.backup(copy)
+    t = store.begin()
+    t.insert([{"r_regionkey": 500}])
+    t.commit()
+    rows, defaulted = store.read().count(), store.read().where("r_name = 'by default'").count()
+    store.restore(copy)
+    dropped = store.gc(1)
+    return e.spark.createDataFrame([("kept", len(store.manifest())), ("dropped", len(dropped)), ("rows", rows), ("defaulted", defaulted), ("restored", store.read().count())], "what string, n long")
+
+
 # -- files --------------------------------------------------------------------
 
 

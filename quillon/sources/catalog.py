@@ -26,7 +26,7 @@ class Catalog:
             stem, _, end = n.rpartition(".")
             if stem and end.lower() in FORMATS:
                 self.files.setdefault(stem, n)
-            elif listing.exists(f"{self.folder}/{n}/manifest.json"):
+            elif listing.exists(f"{self.folder}/{n}/manifests"):
                 self.files.setdefault(n, n)
         self._pinned: dict[tuple[str, int | None], DataFrame] = {}
 
@@ -61,9 +61,14 @@ class Catalog:
             df = df.where(~df["_deleted"]) if "_deleted" in df.columns else df
             df.drop("_record_number", "_deleted").createOrReplaceTempView(n)
 
-    def engine(self, at: int | None = None, limits: Limits = DEFAULT) -> Engine:
-        """An engine over the pinned tables, at a version where stores are concerned."""
-        return Engine(self.spark, lambda name, ordered: self.table(name, ordered, at), limits)
+    def engine(self, at: int | None = None, limits: Limits = DEFAULT, seq: int | None = None) -> Engine:
+        """An engine over the pinned tables; where stores are concerned at a version, or as of an entry of the catalog's log."""
+        if seq is None:
+            return Engine(self.spark, lambda name, ordered: self.table(name, ordered, at), limits)
+        from ..transactions import CatalogLog
+
+        then = CatalogLog(self.spark, self.folder).versions_at(seq)
+        return Engine(self.spark, lambda name, ordered: self.table(name, ordered, then.get(name)), limits)
 
     def refresh(self) -> Catalog:
         """A catalog that sees what is there now."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
@@ -76,6 +78,45 @@ class Files:
             fs.delete(p, False)
         return fs.rename(temporary, p)
 
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that isn't there yet, whole or not at all; false if another writer was first."""
+        fs, p = self._of(path)
+        fs.mkdirs(p.getParent())
+        temporary = f"{path}.{uuid.uuid4().hex}"
+        if fs.getUri().getScheme() == "file":
+            local = [urlparse(x).path if "://" in x or x.startswith("file:") else x for x in (temporary, path)]
+            with open(local[0], "w", encoding="utf-8") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(*local)  # fails where the name is taken
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(local[0])
+        stream = fs.create(self.jvm.org.apache.hadoop.fs.Path(temporary), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
+        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(self.jvm.org.apache.hadoop.fs.Path(temporary), p, options)
+            return True
+        except Exception:
+            fs.delete(self.jvm.org.apache.hadoop.fs.Path(temporary), False)
+            if fs.exists(p):
+                return False
+            raise
+
+    def move(self, old: str, new: str) -> bool:
+        """Rename a folder; false if it isn't there."""
+        fs, p = self._of(old)
+        target = self.jvm.org.apache.hadoop.fs.Path(new)
+        fs.mkdirs(target.getParent())
+        return fs.exists(p) and not fs.exists(target) and fs.rename(p, target)
+
     def delete(self, path: str) -> None:
         fs, p = self._of(path)
         fs.delete(p, True)

@@ -1,18 +1,26 @@
-"""Versioned tables: immutable Parquet versions, a manifest that is the commit point, and a change log.
+"""Versioned tables: immutable Parquet versions, numbered manifests as commit points, and a change log.
 
-    folder/manifest.json       versions, newest last: transaction, data folder, constraints, row count
-    folder/data/<txn>          one version's rows with _record_number and _deleted
-    folder/changes/txn=<txn>   its changes: reset, record_number, before, after (JSON)
+    folder/manifests/<n>.json     versions, newest last: transaction, folders, constraints, row count; the highest n counts
+    folder/data/<txn>-<id>        one version's rows with _record_number and _deleted
+    folder/pending/<txn>-<id>     its changes, until its manifest is there
+    folder/changes/txn=<txn>      its changes: reset, record_number, before, after (JSON)
 
 Reads are frames over one version, so they never see a later one. A commit
-writes data and changes first, and the manifest last.
+writes data and changes into folders of its own, and then creates the next
+manifest, which fails if another writer was first: a losing commit changes
+nothing. Changes are published after that; recover() does what a crash left.
+
+Constraints are tested at commit. begin(immediate=True) tests those that aren't
+deferred after each step too. Foreign keys are looked up among the tables beside
+this one, or in the catalog transaction that the commit belongs to.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -20,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constraints import Constraints, validate
-from .errors import StoreError
+from .constraints import Constraints, constraint_names, key_name, validate
+from .errors import ConstraintError, StoreError
 from .sources.files import Files
 
 RECORD, DELETED = "_record_number", "_deleted"
@@ -35,6 +43,23 @@ class Version:
     rows: int
     constraints: dict
     columns: str  # the schema as JSON
+    changes: str = ""  # folder of its changes before they are published
+
+
+@dataclass
+class Prepared:
+    """A commit whose data is written and that no manifest names yet."""
+
+    store: Store
+    number: int
+    versions: list[Version]
+
+    def manifest(self) -> str:
+        return json.dumps({"versions": [v.__dict__ for v in self.versions]})
+
+    def discard(self) -> None:
+        for folder in (self.versions[-1].data, self.versions[-1].changes):
+            self.store.files.delete(f"{self.store.folder}/{folder}")
 
 
 class Store:
@@ -46,8 +71,17 @@ class Store:
     # -- versions -----------------------------------------------------------
 
     def manifest(self) -> list[Version]:
-        path = f"{self.folder}/manifest.json"
-        return [Version(**v) for v in json.loads(self.files.read(path))["versions"]] if self.files.exists(path) else []
+        return self._newest()[1]
+
+    def _newest(self) -> tuple[int, list[Version]]:
+        """Number and versions of the newest manifest."""
+        names = [n for n in self.files.names(f"{self.folder}/manifests") if n.endswith(".json")]
+        if not names:
+            return 0, []
+        return int(names[-1][:-5]), [Version(**v) for v in json.loads(self.files.read(f"{self.folder}/manifests/{names[-1]}"))["versions"]]
+
+    def exists(self) -> bool:
+        return bool(self._newest()[0])
 
     def latest(self) -> Version:
         versions = self.manifest()
@@ -77,26 +111,67 @@ class Store:
         rows = rows if DELETED in rows.columns else rows.withColumn(DELETED, F.lit(False))
         return self._commit(rows, None, constraints, True, 0)
 
-    def begin(self, txn: int | None = None) -> Transaction:
-        return Transaction(self, self.version(txn))
+    def begin(self, txn: int | None = None, immediate: bool = False) -> Transaction:
+        """immediate: test constraints that aren't deferred after each step, not at commit alone."""
+        return Transaction(self, self.version(txn), immediate)
 
-    def _commit(self, after: DataFrame, before: DataFrame | None, constraints: Constraints, reset: bool, base: int, tables=None, skip: frozenset = frozenset()) -> int:
-        txn = base + 1
-        data = f"data/{txn:012d}"
-        path = f"{self.folder}/{data}"
-        after.write.mode("overwrite").parquet(path)
-        written = self.spark.read.schema(after.schema).parquet(path)
-        validate(written, constraints, tables, skip)
-        changes(before, written, reset).write.mode("overwrite").parquet(f"{self.folder}/changes/txn={txn:012d}")
-        versions = self.manifest()
+    def beside(self, name: str) -> DataFrame:
+        """The newest rows of another table of the same folder."""
+        other = Store(self.spark, f"{self.folder.rpartition('/')[0]}/{name}")
+        if not other.exists():
+            raise ConstraintError(f"a foreign key names a table that isn't there: {name}")
+        return other.read()
+
+    def _prepare(self, after: DataFrame, before: DataFrame | None, constraints: Constraints, reset: bool, base: int, tables=None, skip: frozenset = frozenset()) -> Prepared:
+        """Write a version and its changes into new folders, and test it."""
+        number, versions = self._newest()
         if (versions[-1].txn if versions else 0) != base:
             raise StoreError("the table was changed by another transaction")
-        versions.append(Version(txn, data, written.count(), constraints.to_json(), after.schema.json()))
-        self._write_manifest(versions)
-        return txn
+        txn = base + 1
+        unique = f"{txn:012d}-{uuid.uuid4().hex}"
+        out = Prepared(self, number + 1, [*versions, Version(txn, f"data/{unique}", 0, constraints.to_json(), after.schema.json(), f"pending/{unique}")])
+        path = f"{self.folder}/data/{unique}"
+        try:
+            after.write.parquet(path)
+            written = self.spark.read.schema(after.schema).parquet(path)
+            validate(written, constraints, tables or self.beside, skip)
+            changes(before, written, reset).write.parquet(f"{self.folder}/pending/{unique}")
+        except Exception:
+            out.discard()
+            raise
+        out.versions[-1] = replace(out.versions[-1], rows=written.count())
+        return out
+
+    def _publish(self, prepared: Prepared, decided: bool = False) -> int:
+        """Create the manifest: the commit point, unless a catalog's log has decided already. Then show the changes."""
+        if not self.files.create(f"{self.folder}/manifests/{prepared.number:012d}.json", prepared.manifest()) and not decided:
+            prepared.discard()
+            raise StoreError("the table was changed by another transaction")
+        self.recover()
+        return prepared.versions[-1].txn
 
-    def _write_manifest(self, versions: list[Version]) -> None:
-        self.files.write(f"{self.folder}/manifest.json", json.dumps({"versions": [v.__dict__ for v in versions]}))
+    def _commit(self, after: DataFrame, before: DataFrame | None, constraints: Constraints, reset: bool, base: int, tables=None, skip: frozenset = frozenset()) -> int:
+        return self._publish(self._prepare(after, before, constraints, reset, base, tables, skip))
+
+    def recover(self) -> None:
+        """Publish the changes of committed versions that a crash left pending."""
+        for v in self.manifest():
+            if v.changes:
+                self.files.move(f"{self.folder}/{v.changes}", f"{self.folder}/changes/txn={v.txn:012d}")
+
+    def cleanup(self) -> list[str]:
+        """Remove folders that no version names: what failed commits left. Only while nobody commits."""
+        self.recover()
+        named = {v.data for v in self.manifest()}
+        loose = [f"data/{n}" for n in self.files.names(f"{self.folder}/data") if f"data/{n}" not in named]
+        loose += [f"pending/{n}" for n in self.files.names(f"{self.folder}/pending")]
+        for folder in loose:
+            self.files.delete(f"{self.folder}/{folder}")
+        return loose
+
+    def _write_manifest(self, number: int, versions: list[Version]) -> None:
+        if not self.files.create(f"{self.folder}/manifests/{number + 1:012d}.json", json.dumps({"versions": [v.__dict__ for v in versions]})):
+            raise StoreError("the table was changed by another transaction")
 
     # -- history ------------------------------------------------------------
 
@@ -118,10 +193,10 @@ class Store:
 
     def gc(self, keep: int) -> list[int]:
         """Drop all but the newest versions' data; the change log stays. The dropped transactions."""
-        versions = self.manifest()
+        number, versions = self._newest()
         drop = versions[:-keep] if keep > 0 else []
         if drop:
-            self._write_manifest(versions[len(drop) :])
+            self._write_manifest(number, versions[len(drop) :])
             for v in drop:
                 self.files.delete(f"{self.folder}/{v.data}")
         return [v.txn for v in drop]
@@ -182,11 +257,13 @@ def changes(before: DataFrame | None, after: DataFrame, reset: bool) -> DataFram
 class Transaction:
     """Steps over one version, as a plan; nothing is written before commit()."""
 
-    def __init__(self, store: Store, base: Version):
-        self.store, self.base = store, base
+    def __init__(self, store: Store, base: Version, immediate: bool = False):
+        self.store, self.base, self.immediate = store, base, immediate
         self.before = self.after = store.read(base.txn)
         self.rules = Constraints.from_json(base.constraints)
-        self.count, self.steps, self.deferred = base.rows, 0, set(self.rules.deferred)
+        self.count, self.steps = base.rows, 0
+        self.deferred = set(self.rules.deferred) | {key_name(k) for k in self.rules.foreign_keys if k.deferred}
+        self.tables = store.beside
 
     @property
     def fields(self) -> list[T.StructField]:
@@ -203,7 +280,18 @@ class Transaction:
 
         return Engine(self.store.spark).find(self.after, document)
 
+    def _changed(self, after: DataFrame) -> None:
+        """Take a step's result, unless it breaks a constraint that isn't deferred."""
+        if self.immediate:
+            validate(after, self.rules, self.tables, frozenset(self.deferred))
+        self.after = after
+
     def set_deferred(self, *names: str, deferred: bool = True) -> None:
+        """Defer constraints (by the names in errors) to the commit, or test them from now on; those that are broken by then raise."""
+        if unknown := set(names) - constraint_names(self.rules):
+            raise StoreError(f"unknown constraints: {sorted(unknown)}")
+        if not deferred:
+            validate(self.after, self.rules, self.tables, frozenset(constraint_names(self.rules) - set(names)))
         self.deferred = self.deferred | set(names) if deferred else self.deferred - set(names)
 
     def insert(self, rows: Iterable[dict] | DataFrame) -> None:
@@ -238,7 +326,7 @@ class Transaction:
             if n not in new.columns:
                 new = new.withColumn(n, F.lit(default).cast(f.dataType))
         new = new.withColumn(DELETED, F.lit(False)).select(*(F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in self.after.schema))
-        self.after = self.after.unionByName(new)
+        self._changed(self.after.unionByName(new))
 
     def _row(self, record: int) -> Column:
         return F.col(RECORD) == record
@@ -283,7 +371,7 @@ class Transaction:
         at = self._row(record)
         columns = {k: F.when(at, F.lit(v).cast(types[k])).otherwise(F.col(f"`{k}`")) for k, v in values.items()}
         columns |= {k: F.when(at, (F.col(f"`{k}`") + F.lit(v)).cast(types[k])).otherwise(F.col(f"`{k}`")) for k, v in (more or {}).items()}
-        self.after = self.after.withColumns(columns)
+        self._changed(self.after.withColumns(columns))
 
     def _document(self, record: int) -> dict:
         r = self.after.where(self._row(record) & ~F.col(DELETED)).drop(RECORD, DELETED).first()
@@ -313,21 +401,38 @@ class Transaction:
         from .operators.filters import compile_filter
 
         self._step()
-        self.after = self.after.withColumn(DELETED, F.col(DELETED) | compile_filter(Scope(self.after.schema), filter))
+        self._changed(self.after.withColumn(DELETED, F.col(DELETED) | compile_filter(Scope(self.after.schema), filter)))
 
     def _mark(self, record: int, deleted: bool) -> None:
         self._step()
-        self.after = self.after.withColumn(DELETED, F.when(self._row(record), F.lit(deleted)).otherwise(F.col(DELETED)))
+        self._changed(self.after.withColumn(DELETED, F.when(self._row(record), F.lit(deleted)).otherwise(F.col(DELETED))))
 
-    def commit(self, tables=None, merge: bool = False) -> int:
-        """Write a new version. merge: where others committed meanwhile, put both sets of row changes together if they touch different rows."""
+    def merged(self, merge: bool) -> tuple[DataFrame, DataFrame, int]:
+        """Before, after and base number of what is to be committed now."""
         latest = self.store.latest()
-        before, after = self.before, self.after
-        if latest.txn != self.base.txn:
-            if not merge:
-                raise StoreError("the table was changed by another transaction")
-            before, after = self.store.read(), row_merge(self.before, self.after, self.store.read())
-        return self.store._commit(after, before, self.rules, False, latest.txn, tables)
+        if latest.txn == self.base.txn:
+            return self.before, self.after, latest.txn
+        if not merge:
+            raise StoreError("the table was changed by another transaction")
+        theirs = self.store.read(latest.txn)
+        return theirs, row_merge(self.before, self.after, theirs), latest.txn
+
+    def commit(self, tables=None, merge: bool = False) -> int:
+        """Write a new version. merge: where others committed meanwhile, put both sets of row changes together if they touch different rows.
+
+        Where tables beside this one refer to it, or the folder has a catalog log, the
+        commit is one of a catalog transaction: actions of foreign keys change those tables too.
+        """
+        from .transactions import CatalogTransaction, belongs_to_catalog
+
+        if tables is None and belongs_to_catalog(self.store):
+            folder, _, name = self.store.folder.rpartition("/")
+            whole = CatalogTransaction(self.store.spark, folder)
+            whole.open[name] = self
+            whole.commit(merge)
+            return self.store.latest().txn
+        before, after, base = self.merged(merge)
+        return self.store._commit(after, before, self.rules, False, base, tables)
 
     def rollback(self) -> None:
         self.after = self.before

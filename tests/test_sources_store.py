@@ -9,6 +9,7 @@ from quillon.sources import dbf, xbf
 from quillon.sources.catalog import Catalog
 from quillon.store import Store, merged, patched
 from quillon.streaming import cdc
+from quillon.transactions import CatalogLog, CatalogTransaction
 
 
 def test_dbf_round_trip(spark, tmp_path):
@@ -236,3 +237,95 @@ def test_command_line(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert out.startswith("t\n") and '{"id":2}' in out
     assert main(["find", str(tmp_path), "t", "{"]) == 1 and main(["find", str(tmp_path), "nope", "{}"]) == 1
+
+
+def test_a_losing_commit_changes_nothing(spark, store):
+    """Both transactions begin at one version, and the second commits while the first has its data written."""
+    slow, fast = store.begin(), store.begin()
+    slow.patch(1, {"age": 50})
+    fast.patch(1, {"age": 60})
+    before, after, base = slow.merged(False)
+    prepared = store._prepare(after, before, slow.rules, False, base)
+    assert fast.commit() == 2
+    with pytest.raises(StoreError):
+        store._publish(prepared)
+    assert [r[3] for r in rows(store.read())] == [60, 20, None]
+    assert [(r.txn, r.record_number) for r in store.changes(1).collect()] == [(2, 1)]
+    assert cdc.change_stream(spark, store.folder).isStreaming and spark.read.parquet(f"{store.folder}/changes").where("txn = 2").count() == 1
+    assert store.cleanup() == []
+
+
+def test_recovery_publishes_committed_changes(spark, store):
+    t = store.begin()
+    t.patch(2, {"age": 21})
+    before, after, base = t.merged(False)
+    p = store._prepare(after, before, t.rules, False, base)
+    lost = store._prepare(after, before, t.rules, False, base)
+    assert store.files.create(f"{store.folder}/manifests/{p.number:012d}.json", p.manifest())  # and a crash
+    assert Store(spark, store.folder).read().where("age = 21").count() == 1
+    assert lost.versions[-1].data in store.cleanup()
+    assert spark.read.parquet(f"{store.folder}/changes").where("txn = 2").count() == 1
+    assert not store.files.create(f"{store.folder}/manifests/{p.number:012d}.json", "{}")
+
+
+@pytest.fixture
+def shop(spark, tmp_path):
+    """Three tables in a chain: makers, their goods (cascade), the goods' labels (set null on delete, cascade on update)."""
+    folder = str(tmp_path / "shop")
+    key = lambda c, t, p, *actions: Constraints(foreign_keys=(ForeignKey((c,), t, (p,), *actions),))
+    Store(spark, f"{folder}/maker").create(spark.createDataFrame([(1,), (2,), (3,)], "m int").coalesce(1), Constraints(primary=("m",)))
+    Store(spark, f"{folder}/goods").create(spark.createDataFrame([(10, 1), (11, 2), (12, None)], "g int, maker int").coalesce(1), key("maker", "maker", "m", "cascade", "cascade"))
+    Store(spark, f"{folder}/tag").create(spark.createDataFrame([("x", 10), ("y", 11)], "t string, goods int").coalesce(1), key("goods", "goods", "g", "set_null", "cascade"))
+    return folder
+
+
+def test_foreign_keys_at_every_commit(spark, shop):
+    goods, maker = Store(spark, f"{shop}/goods"), Store(spark, f"{shop}/maker")
+    t = goods.begin()
+    t.insert([{"g": 13, "maker": 99}])
+    with pytest.raises(ConstraintError, match="foreign_key:maker"):
+        t.commit()
+    t = maker.begin()
+    t.delete(1)
+    t.commit()
+    assert [r["_deleted"] for r in goods.read().orderBy("_record_number").collect()] == [True, False, False]
+    assert [r.goods for r in Store(spark, f"{shop}/tag").read().orderBy("t").collect()] == [None, 11]
+    t = maker.begin()
+    t.patch(2, {"m": 20})
+    t.commit()
+    assert [r.maker for r in goods.read().orderBy("_record_number").collect()] == [1, 20, None]
+
+
+def test_catalog_transactions(spark, shop):
+    a, b = CatalogTransaction(spark, shop), CatalogTransaction(spark, shop)
+    a.table("goods").insert([{"g": 14, "maker": 7}])
+    a.table("maker").insert([{"m": 7}])
+    assert a.query("goods", {"filter": {"g": 14}}).count() == 1 and a.commit() == 1
+    b.table("tag").insert([{"t": "z", "goods": 12}])
+    with pytest.raises(StoreError):
+        b.commit()
+    log = CatalogLog(spark, shop)
+    assert sorted((r.seq, r.table) for r in log.changes().collect()) == [(1, "goods"), (1, "maker")]
+    assert log.versions_at(0) == {} and log.versions_at(1) == {"goods": 2, "maker": 2} and log.read("goods", 1).count() == 4
+    c = CatalogTransaction(spark, shop)
+    c.table("goods").insert([{"g": 15, "maker": 8}])
+    with pytest.raises(ConstraintError):
+        c.commit()
+    assert Store(spark, f"{shop}/goods").latest().txn == 2 and log.latest() == 1
+    with pytest.raises(StoreError):
+        c.table("nope")
+
+
+def test_constraint_timing(spark, shop):
+    t = CatalogTransaction(spark, shop, immediate=True)
+    with pytest.raises(ConstraintError):
+        t.table("goods").insert([{"g": 14, "maker": 7}])
+    t.table("goods").set_deferred("foreign_key:maker")
+    t.table("goods").insert([{"g": 14, "maker": 7}])
+    with pytest.raises(ConstraintError):
+        t.table("goods").set_deferred("foreign_key:maker", deferred=False)
+    t.table("maker").insert([{"m": 7}])
+    t.table("goods").set_deferred("foreign_key:maker", deferred=False)
+    assert t.commit() == 1
+    with pytest.raises(StoreError):
+        t.table("goods").set_deferred("unique:nope")
