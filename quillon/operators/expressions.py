@@ -112,13 +112,16 @@ def numeric(op: str, args: list[Value]) -> Value:
     if any(a.kind != NUMBER for a in args):
         return missing()
     present = reduce(both, (both(a.present, a.column.isNotNull()) for a in args))
-    whole = all(isinstance(a.type, T.IntegralType) for a in args)
-    c = [a.column.cast("long" if whole else "double") for a in args]
+    whole = all(is_whole(a.type) for a in args)
+    # unsigned 64-bit numbers are exact decimals; a result beyond 20 digits is an error
+    wide = whole and any(isinstance(a.type, T.DecimalType) for a in args)
+    kind = UNSIGNED if wide else T.LongType() if whole else T.DoubleType()
+    c = [a.column.cast(kind) for a in args]
     if op == "$abs":
-        return Value(F.abs(c[0]), T.LongType() if whole else T.DoubleType(), present)
+        return Value(F.abs(c[0]).cast(kind), kind, present)
     if op in ("$ceil", "$floor"):
         if whole:
-            return Value(c[0], T.LongType(), present)
+            return Value(c[0], kind, present)
         # beyond 2**63 every double is whole already, and a long can't hold it
         out = F.ceil(c[0]) if op == "$ceil" else F.floor(c[0])
         return Value(F.when(F.abs(c[0]) < 2.0**63, out.cast("double")).otherwise(c[0]), T.DoubleType(), present)
@@ -127,10 +130,17 @@ def numeric(op: str, args: list[Value]) -> Value:
         a, b = (i.cast("double") for i in c)
         return Value(F.when(b == 0, zero.cast("double")).otherwise(a / b), T.DoubleType(), present)
     if op == "$mod":
-        t = T.LongType() if whole else T.DoubleType()
-        return Value(F.when(c[1] == 0, F.raise_error(F.lit("remainder of a division by zero")).cast(t)).otherwise(c[0] % c[1]), t, present)
+        zero = F.raise_error(F.lit("remainder of a division by zero"))
+        return Value(F.when(c[1] == 0, zero.cast(kind)).otherwise((c[0] % c[1]).cast(kind)), kind, present)
     out = {"$add": lambda: c[0] + c[1], "$subtract": lambda: c[0] - c[1], "$multiply": lambda: c[0] * c[1]}[op]()
-    return Value(out, T.LongType() if whole else T.DoubleType(), present)
+    return Value(out.cast(kind), kind, present)
+
+
+UNSIGNED = T.DecimalType(20, 0)
+
+
+def is_whole(t: T.DataType | None) -> bool:
+    return isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0)
 
 
 def required(v: Value, what: str) -> Column:
@@ -145,7 +155,11 @@ def string(op: str, args: list[Value]) -> Value:
     if op == "$strLenCP":
         return Value(F.char_length(required(args[0], op)).cast("long"), T.LongType())
     if op == "$split":
-        return Value(F.split(required(args[0], op), F.concat(F.lit("\\Q"), required(args[1], op), F.lit("\\E")), -1), T.ArrayType(T.StringType()))
+        by = required(args[1], op)
+        by = F.when(by == "", F.raise_error(F.lit("$split needs a delimiter")).cast("string")).otherwise(by)
+        # a quoted pattern; the end of quoting within the delimiter is spelled out
+        quoted = F.concat(F.lit("\\Q"), F.replace(by, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        return Value(F.split(required(args[0], op), quoted, -1), T.ArrayType(T.StringType()))
     if op == "$substrCP":
         v, start, count = args
         if v.present is False or v.kind == NULL:

@@ -110,7 +110,9 @@ def member(v: Value, items: list, loose: bool = False) -> Column:
 def compared(v: Value, op: str, x: Any) -> Column:
     if v.kind == ARRAY:
         e = v.type.elementType
-        return sure(F.exists(v.column, lambda y: ordered(op, Value(y, e), literal(x))))
+        out = sure(F.exists(v.column, lambda y: ordered(op, Value(y, e), literal(x))))
+        # a null in place of an array compares as null does
+        return out | v.column.isNull() if x is None and op in ("$gte", "$lte") and not v.fanned else out
     return ordered(op, v, literal(x))
 
 

@@ -182,6 +182,8 @@ class Aggregates:
             if v.kind != NUMBER:
                 return F.count(F.lit(None)) if a.op == "$sum" else F.max(F.lit(None).cast("double"))
             if a.op == "$sum":
+                if isinstance(v.type, T.DecimalType) and v.type.scale == 0:
+                    return F.coalesce(F.sum(c), F.lit(0).cast("decimal(38,0)"))
                 whole = isinstance(v.type, T.IntegralType)
                 return F.coalesce(F.sum(c.cast("long" if whole else "double")), F.lit(0).cast("long" if whole else "double"))
             f = {"$avg": F.avg, "$stdDevPop": F.stddev_pop, "$stdDevSamp": F.stddev_samp}[a.op]

@@ -118,6 +118,8 @@ def common_type(types: list[T.DataType | None]) -> T.DataType | None:
     if kinds == {NUMBER}:
         if all(isinstance(t, T.IntegralType) for t in real):
             return T.LongType()
+        if all(isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0) for t in real):
+            return T.DecimalType(20, 0)
         return T.DoubleType()
     if kinds == {STRING}:
         return T.StringType()

@@ -10,20 +10,20 @@ from quillon.plans.documents import parse_join, parse_query
 
 
 @pytest.fixture(scope="module")
-def users(spark):
-    rows = [(1, "Alice", 29, True), (2, "bob", 7, False), (3, "Álvaro", 29, None), (4, None, None, True)]
-    return spark.createDataFrame(rows, "ID int, NAME string, AGE int, ACTIVE boolean").withColumn("_record_number", F.col("ID").cast("long"))
+def cities(spark):
+    rows = [(1, "Quito", 29, True), (2, "rome", 7, False), (3, "Évora", 29, None), (4, None, None, True)]
+    return spark.createDataFrame(rows, "ID int, TOWN string, HEIGHT int, COASTAL boolean").withColumn("_record_number", F.col("ID").cast("long"))
 
 
 @pytest.fixture(scope="module")
-def posts(spark):
-    rows = [(1, "Post", 1), (2, "Other", 2), (3, "Lost", 99), (4, "Nobody", None)]
-    return spark.createDataFrame(rows, "ID int, TITLE string, USER int").withColumn("_record_number", F.col("ID").cast("long"))
+def sites(spark):
+    rows = [(1, "north gate", 1), (2, "mill", 2), (3, "torn down", 99), (4, "unplaced", None)]
+    return spark.createDataFrame(rows, "ID int, CALLED string, CITY int").withColumn("_record_number", F.col("ID").cast("long"))
 
 
 @pytest.fixture(scope="module")
-def engine(spark, users, posts):
-    return Engine(spark, lambda name, ordered: {"users": users, "posts": posts}[name])
+def engine(spark, cities, sites):
+    return Engine(spark, lambda name, ordered: {"cities": cities, "sites": sites}[name])
 
 
 def ids(df):
@@ -33,8 +33,8 @@ def ids(df):
 @pytest.mark.parametrize(
     "bad",
     [
-        "{", "[]", {"filtre": {}}, {"sort": {"A": 2}}, {"sort": {"A": True}}, {"projection": {"A": 1, "B": 0}}, {"collation": "unicode-lowercase"}, {"collation": "x", "sort": {"A": 1}}, {"cursor": "x"}, {"page_size": 0}, {"page_size": 2000}, {"page_size": 5, "skip": 1},
-        {"skip": -1}, {"limit": 1.5}, {"filter": {"A": {"$regex": "2"}}}, {"filter": {"$nor": []}}, {"filter": {"A": {"$in": 3}}}, {"filter": {"A": {"$size": -1}}}, {"filter": {"A": {"$exists": 1}}}, {"filter": {"$expr": {"$add": [1, 2]}}},
+        "{", "[]", {"where": {}}, {"sort": {"A": 0}}, {"sort": {"A": True}}, {"projection": {"A": 1, "B": 0}}, {"collation": "unicode-lowercase"}, {"collation": "x", "sort": {"A": 1}}, {"cursor": "x"}, {"page_size": 0}, {"page_size": 2000}, {"page_size": 5, "skip": 1},
+        {"skip": -1}, {"limit": 1.5}, {"filter": {"A": {"$near": [0, 1]}}}, {"filter": {"$nor": []}}, {"filter": {"A": {"$in": 3}}}, {"filter": {"A": {"$size": -1}}}, {"filter": {"A": {"$exists": 1}}}, {"filter": {"$expr": {"$add": [1, 2]}}},
         {"aggregate": []}, {"aggregate": [{"$group": {"_id": None}}], "limit": 3}, {"aggregate": [{"$match": {}}]}, {"aggregate": [{"$count": "n"}, {"$limit": 1}]}, {"aggregate": [{"$count": "$n"}]}, {"aggregate": [{"$group": {"_id": "$A", "x": {"$median": "$A"}}}]},
         {"aggregate": [{"$limit": 1}, {"$limit": 2}, {"$count": "n"}]}, {"aggregate": [{"$count": "n"}, {"$count": "m"}]}, {"aggregate": [{"$group": {"_id": "$A"}}, {"$limit": 1}, {"$sort": {"_id": 1}}]}, {"aggregate": [{"$bucket": {"groupBy": "$A", "boundaries": [3, 1]}}]},
         {"aggregate": [{"$bucketAuto": {"groupBy": "$A", "buckets": 0}}]}, {"aggregate": [{"$unwind": "$a.b"}, {"$count": "n"}]}, {"aggregate": [{"$group": {"_id": None, "x": {"$minN": {"input": "$A", "n": 0}}}}]}, {"aggregate": [{"$lookup": {}}, {"$count": "n"}]}, {"filter": {"$expr": {"$eq": ["$a", {"$toInt": "$b"}]}}},
@@ -64,18 +64,18 @@ def test_request_size():
 
 
 def test_find(engine):
-    assert ids(engine.find("users", {"filter": {"AGE": 29}})) == [1, 3]
-    assert ids(engine.find("users", {"filter": {"AGE": {"$ne": 29}}})) == [2, 4]
-    assert ids(engine.find("users", {"filter": {"AGE": None}})) == [4]
-    assert ids(engine.find("users", {"filter": {"AGE": {"$lte": None}}})) == [4]
-    assert ids(engine.find("users", {"filter": {"NOPE": None}})) == []
-    assert ids(engine.find("users", {"filter": {"NOPE": {"$nin": [1]}}})) == [1, 2, 3, 4]
-    assert ids(engine.find("users", {"sort": {"AGE": -1}})) == [1, 3, 2, 4]
-    assert ids(engine.find("users", {"sort": {"AGE": 1, "NAME": -1}, "skip": 1, "limit": 2})) == [2, 3]
-    assert ids(engine.find("users", {"sort": {"NAME": 1}, "collation": "unicode-lowercase"})) == [4, 1, 2, 3]
-    df = engine.find("users", {"projection": {"NAME": 0}})
-    assert df.columns == ["ID", "AGE", "ACTIVE"]
-    assert engine.find("users", {"filter": {"ID": 99}, "aggregate": [{"$count": "n"}]}).first().n == 0
+    assert ids(engine.find("cities", {"filter": {"HEIGHT": 29}})) == [1, 3]
+    assert ids(engine.find("cities", {"filter": {"HEIGHT": {"$ne": 29}}})) == [2, 4]
+    assert ids(engine.find("cities", {"filter": {"HEIGHT": None}})) == [4]
+    assert ids(engine.find("cities", {"filter": {"HEIGHT": {"$lte": None}}})) == [4]
+    assert ids(engine.find("cities", {"filter": {"NOPE": None}})) == []
+    assert ids(engine.find("cities", {"filter": {"NOPE": {"$nin": [1]}}})) == [1, 2, 3, 4]
+    assert ids(engine.find("cities", {"sort": {"HEIGHT": -1}})) == [1, 3, 2, 4]
+    assert ids(engine.find("cities", {"sort": {"HEIGHT": 1, "TOWN": -1}, "skip": 1, "limit": 2})) == [2, 3]
+    assert ids(engine.find("cities", {"sort": {"TOWN": 1}, "collation": "unicode-lowercase"})) == [4, 1, 2, 3]
+    df = engine.find("cities", {"projection": {"TOWN": 0}})
+    assert df.columns == ["ID", "HEIGHT", "COASTAL"]
+    assert engine.find("cities", {"filter": {"ID": 99}, "aggregate": [{"$count": "n"}]}).first().n == 0
 
 
 def test_projection_of_paths(spark):
@@ -87,22 +87,22 @@ def test_projection_of_paths(spark):
     assert r.asDict(True) == {"a": 1, "s": {"p": 2}, "l": [{"k": 1}, {"k": 2}], "n": [None, 6, 7]}
 
 
-def test_pages_cover_everything_once(engine, users):
-    for sort in ({}, {"sort": {"AGE": -1}}, {"sort": {"NAME": 1, "AGE": 1}}, {"sort": {"AGE": 1}}):
+def test_pheights_cover_everything_once(engine, cities):
+    for sort in ({}, {"sort": {"HEIGHT": -1}}, {"sort": {"TOWN": 1, "HEIGHT": 1}}, {"sort": {"HEIGHT": 1}}):
         seen, cursor = [], None
         while True:
-            p = engine.page("users", sort | {"page_size": 1} | ({"cursor": cursor} if cursor else {}))
+            p = engine.page("cities", sort | {"page_size": 1} | ({"cursor": cursor} if cursor else {}))
             seen += [r.ID for r in p.records]
             cursor = p.cursor
             if cursor is None:
                 break
-        assert seen == ids(engine.find("users", sort or {"sort": {"ID": 1}}))
-    p = engine.page("users", {"sort": {"AGE": 1}, "page_size": 2})
-    for other in ({"sort": {"AGE": -1}}, {"sort": {"NAME": 1}}, {}):
+        assert seen == ids(engine.find("cities", sort or {"sort": {"ID": 1}}))
+    p = engine.page("cities", {"sort": {"HEIGHT": 1}, "page_size": 2})
+    for other in ({"sort": {"HEIGHT": -1}}, {"sort": {"TOWN": 1}}, {}):
         with pytest.raises(QueryError):
-            engine.page("users", other | {"page_size": 2, "cursor": p.cursor})
+            engine.page("cities", other | {"page_size": 2, "cursor": p.cursor})
     with pytest.raises(QueryError):
-        engine.page("users", {"page_size": 2, "cursor": "nonsense"})
+        engine.page("cities", {"page_size": 2, "cursor": "nonsense"})
 
 
 def test_ordered_accumulators(spark):
@@ -124,8 +124,8 @@ def test_unwind_and_buckets(spark):
     assert n({"path": "$l", "preserveNullAndEmptyArrays": True, "includeArrayIndex": "p"})["l"] == [1, 2, None, None]
     with pytest.raises(QueryError):
         e.find(df, {"aggregate": [{"$unwind": "$i"}, {"$count": "n"}]})
-    ages = spark.createDataFrame([(a,) for a in (7, 18, 29, 45)], "AGE int")
-    assert [(r["_id"].min, r["_id"].max, r["count"]) for r in e.find(ages, {"aggregate": [{"$bucketAuto": {"groupBy": "$AGE", "buckets": 2}}]}).collect()] == [(7, 29, 2), (29, 45, 2)]
+    heights = spark.createDataFrame([(a,) for a in (7, 18, 29, 45)], "HEIGHT int")
+    assert [(r["_id"].min, r["_id"].max, r["count"]) for r in e.find(heights, {"aggregate": [{"$bucketAuto": {"groupBy": "$HEIGHT", "buckets": 2}}]}).collect()] == [(7, 29, 2), (29, 45, 2)]
     for u, b in ((10, 3), (7, 7), (5, 9), (23, 4)):
         df = spark.range(u).select((F.col("id") * 3).alias("v"))
         got = [r["count"] for r in e.find(df, {"aggregate": [{"$bucketAuto": {"groupBy": "$v", "buckets": b}}]}).collect()]
@@ -137,28 +137,47 @@ def test_unwind_and_buckets(spark):
     few = e.find(spark.range(400), {"aggregate": [{"$group": {"_id": None, "lo": {"$minN": {"input": "$id", "n": 3}}, "hi": {"$maxN": {"input": "$id", "n": 2}}}}]}).first()
     assert few.lo == [0, 1, 2] and few.hi == [399, 398]
     with pytest.raises(Exception, match="outside the boundaries"):
-        e.find(ages, {"aggregate": [{"$bucket": {"groupBy": "$AGE", "boundaries": [0, 10]}}]}).collect()
+        e.find(heights, {"aggregate": [{"$bucket": {"groupBy": "$HEIGHT", "boundaries": [0, 10]}}]}).collect()
 
 
 def test_joins_and_missing(engine):
-    on = {"users.ID": {"$eq": {"$field": "posts.USER"}}}
-    got = lambda kind, **more: engine.join({"from": "users", "join": {"table": "posts", "type": kind, "on": on}} | more)
+    on = {"cities.ID": {"$eq": {"$field": "sites.CITY"}}}
+    got = lambda kind, **more: engine.join({"from": "cities", "join": {"table": "sites", "type": kind, "on": on}} | more)
     assert got("inner").count() == 2 and got("left").count() == 4 and got("right").count() == 4 and got("full").count() == 6
-    assert got("semi").columns == ["users.ID", "users.NAME", "users.AGE", "users.ACTIVE"] and got("semi").count() == 2 and got("anti").count() == 2
-    assert got("left", filter={"posts.TITLE": {"$exists": False}}).count() == 2
-    assert got("left", filter={"posts.TITLE": None}).count() == 0
-    assert got("full", filter={"users.NAME": None}).count() == 1  # the fourth user; padding is missing, not null
-    assert got("full", filter={"users.NAME": {"$exists": False}}).count() == 2
-    assert engine.join({"from": "users", "join": {"table": "posts", "type": "cross"}}).count() == 16
+    assert got("semi").columns == ["cities.ID", "cities.TOWN", "cities.HEIGHT", "cities.COASTAL"] and got("semi").count() == 2 and got("anti").count() == 2
+    assert got("left", filter={"sites.CALLED": {"$exists": False}}).count() == 2
+    assert got("left", filter={"sites.CALLED": None}).count() == 0
+    assert got("full", filter={"cities.TOWN": None}).count() == 1  # the fourth user; padding is missing, not null
+    assert got("full", filter={"cities.TOWN": {"$exists": False}}).count() == 2
+    assert engine.join({"from": "cities", "join": {"table": "sites", "type": "cross"}}).count() == 16
     with pytest.raises(QueryError):
-        engine.join({"from": "users", "join": {"table": "posts", "on": {"users.NOPE": {"$eq": {"$field": "posts.ID"}}}}})
+        engine.join({"from": "cities", "join": {"table": "sites", "on": {"cities.NOPE": {"$eq": {"$field": "sites.ID"}}}}})
 
 
-def test_data_errors(spark, users):
+def test_exact_unsigned_numbers(spark):
     e = Engine(spark)
-    for bad in ({"$strLenCP": "$NAME"}, {"$divide": ["$AGE", 0]}, {"$mod": ["$AGE", 0]}, {"$split": ["$NAME", "x"]}, {"$add": [9223372036854775807, "$ID"]}):
+    df = spark.sql("SELECT * FROM VALUES (1, CAST(18446744073709551615 AS DECIMAL(20,0)), 2L), (2, CAST(9007199254740993 AS DECIMAL(20,0)), 3L) AS t(i, u, n)")
+    out = {k: [int(r[k]) for r in e.find(df, {"aggregate": [{"$set": {"x": x}}, {"$group": {"_id": "$i", "x": {"$max": "$x"}}}, {"$sort": {"_id": 1}}]}).withColumnRenamed("x", k).collect()] for k, x in {"less": {"$subtract": ["$u", 1]}, "half": {"$mod": ["$u", 10]}, "same": {"$abs": "$u"}, "more": {"$add": [{"$subtract": ["$u", "$n"]}, 1]}}.items()}
+    assert out == {"less": [2**64 - 2, 2**53], "half": [5, 3], "same": [2**64 - 1, 2**53 + 1], "more": [2**64 - 2, 2**53 - 1]}
+    assert int(e.find(df, {"aggregate": [{"$group": {"_id": None, "s": {"$sum": "$u"}}}]}).first().s) == 2**64 + 2**53
+    with pytest.raises(Exception):
+        e.find(df, {"aggregate": [{"$set": {"x": {"$multiply": ["$u", "$u"]}}}, {"$group": {"_id": "$x"}}]}).collect()
+
+
+def test_split_takes_any_delimiter_but_none(spark):
+    e = Engine(spark)
+    df = spark.createDataFrame([("a\\Eb", "\\E"), ("a.b", "."), ("a\\Qb", "\\Q"), ("x", "|")], "s string, d string")
+    rows = e.find(df, {"aggregate": [{"$set": {"p": {"$split": ["$s", "$d"]}}}, {"$group": {"_id": "$s", "p": {"$max": "$p"}}}]}).collect()
+    assert {r["_id"]: r.p for r in rows} == {"a\\Eb": ["a", "b"], "a.b": ["a", "b"], "a\\Qb": ["a", "b"], "x": ["x"]}
+    with pytest.raises(Exception, match="delimiter"):
+        e.find(spark.createDataFrame([("a", "")], "s string, d string"), {"aggregate": [{"$set": {"p": {"$split": ["$s", "$d"]}}}, {"$group": {"_id": "$p"}}]}).collect()
+
+
+def test_data_errors(spark, cities):
+    e = Engine(spark)
+    for bad in ({"$strLenCP": "$TOWN"}, {"$divide": ["$HEIGHT", 0]}, {"$mod": ["$HEIGHT", 0]}, {"$split": ["$TOWN", "x"]}, {"$add": [9223372036854775807, "$ID"]}):
         with pytest.raises(Exception):
-            e.find(users, {"aggregate": [{"$set": {"x": bad}}, {"$group": {"_id": "$x"}}]}).collect()
+            e.find(cities, {"aggregate": [{"$set": {"x": bad}}, {"$group": {"_id": "$x"}}]}).collect()
 
 
 def test_limits(spark, engine):
@@ -169,14 +188,14 @@ def test_limits(spark, engine):
 
 
 def test_streams_and_explain(engine):
-    assert [r.ID for r in engine.stream("users", {"filter": {"AGE": 29}})] == [1, 3]
-    assert [json.loads(x)["ID"] for x in engine.stream("users", {"projection": {"ID": 1}}).json()] == [1, 2, 3, 4]
-    s = engine.stream("users", {})
+    assert [r.ID for r in engine.stream("cities", {"filter": {"HEIGHT": 29}})] == [1, 3]
+    assert [json.loads(x)["ID"] for x in engine.stream("cities", {"projection": {"ID": 1}}).json()] == [1, 2, 3, 4]
+    s = engine.stream("cities", {})
     s.cancel()
     assert list(s) == []
     with pytest.raises(QueryError):
-        engine.stream("users", {"sort": {"ID": 1}})
-    assert "Filter" in engine.explain("users", {"filter": {"AGE": 29}})["plan"]
+        engine.stream("cities", {"sort": {"ID": 1}})
+    assert "Filter" in engine.explain("cities", {"filter": {"HEIGHT": 29}})["plan"]
 
 
 def test_record_numbers_of_many_files(spark, tmp_path):
