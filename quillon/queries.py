@@ -540,11 +540,11 @@ def _store_default_gc_backup(e: Engine) -> DataFrame:
 
 @query("dbf_round_trip", "SELECT s_suppkey AS suppkey, s_name AS name, s_nationkey AS nation, round(s_acctbal, 2) AS acctbal FROM supplier")
 def _dbf_round_trip(e: Engine) -> DataFrame:
-    """Written as one DBF file and read back in ranges of records; the file is local, as its writer is the driver."""
+    """Written as one DBF file in the shared folder and read back in ranges of records."""
     from .sources import dbf
 
     dbf.register(e.spark)
-    path = tempfile.mkdtemp(prefix="quillon-dbf-") + "/supplier.dbf"
+    path = _scratch(e) + "/supplier.dbf"
     dbf.write_dbf(e.table("supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("acctbal")), path)
     return e.spark.read.format("dbf").option("rows", 40).load(path).select("suppkey", "name", F.col("nation").cast("int").alias("nation"), F.round("acctbal", 2).alias("acctbal"))
 
@@ -555,7 +555,7 @@ def _xbf_round_trip(e: Engine) -> DataFrame:
     from .sources import xbf
 
     xbf.register(e.spark)
-    path = tempfile.mkdtemp(prefix="quillon-xbf-") + "/orders.xbf"
+    path = _scratch(e) + "/orders.xbf"
     xbf.write_xbf(e.find("orders", {"projection": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 1, "o_totalprice": 1}}), path)
     return e.spark.read.format("xbf").option("rows", 100).load(path).where("o_custkey < 40").drop("o_custkey", "_record_number", "_deleted")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import math
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import QueryError
-from .files import exists, open_bytes, read_range, size_of
+from .files import append_file, create_bytes, exists, open_bytes, read_range, remove_folder, size_of
 
 # Language drivers and the code pages that they stand for.
 CODE_PAGES = {
@@ -157,14 +158,14 @@ def memo_of(path: str, header: Header) -> Memo | None:
     return None
 
 
-def spark_type(f: Field, header: Header) -> T.DataType:
+def spark_type(f: Field, header: Header | None) -> T.DataType:
     if f.type in "NF":
         return T.LongType() if f.decimals == 0 else T.DoubleType()
     if f.type == "L":
         return T.BooleanType()
     if f.type in "I+":
         return T.IntegerType()
-    if f.type == "O" or (f.type == "B" and f.width == 8 and header.foxpro):
+    if f.type == "O" or (f.type == "B" and f.width == 8 and header is not None and header.foxpro):
         return T.DoubleType()
     return T.StringType()
 
@@ -363,9 +364,10 @@ def header_bytes(fields: list[Field], count: int, driver: int = 0x03, version: i
 
 
 def write_dbf(df: DataFrame, path: str, driver: int = 0x03) -> int:
-    """Write df (a column _deleted marks deleted rows; _record_number orders them) as one DBF file on a local path; the number of records.
+    """Write df (a column _deleted marks deleted rows; _record_number orders them) as one DBF file; the number of records.
 
-    Tasks encode records; the driver writes what it is handed, a partition at a time, as the format is one file.
+    path: local, or a URI that driver and executors reach. Tasks encode records into
+    part files beside it; the driver joins them behind a header, as the format is one file.
     """
     import pyarrow as pa
 
@@ -375,24 +377,31 @@ def write_dbf(df: DataFrame, path: str, driver: int = 0x03) -> int:
     fields = [field_for(c) for c in df.schema if c.name not in ("_record_number", "_deleted")]
     if any(f.type in MEMO_TYPES for f in fields):
         raise QueryError("memo fields can't be written; cast them to text of fixed width")
-    names, has_mark = [f.name for f in fields], "_deleted" in df.columns
+    names, has_mark, parts = [f.name for f in fields], "_deleted" in df.columns, f"{path}.parts-{uuid.uuid4().hex}"
 
     def run(batches):
-        for b in batches:
-            columns = [b.column(n).to_pylist() for n in names]
-            marks = b.column("_deleted").to_pylist() if has_mark else [False] * b.num_rows
-            raw = b"".join((b"*" if m else b" ") + b"".join(encode_value(f, x, code) for f, x in zip(fields, row)) for m, row in zip(marks, zip(*columns)))
-            yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([b.num_rows], pa.int64())], names=["raw", "n"])
-
-    total = 0
-    with open(path, "wb") as f:
-        f.write(header_bytes(fields, 0, driver, code=code))
-        for row in df.mapInArrow(run, "raw binary, n long").toLocalIterator():
-            f.write(row["raw"])
-            total += row["n"]
-        f.write(b"\x1a")
-        f.seek(0)
-        f.write(header_bytes(fields, total, driver, code=code))
+        from pyspark import TaskContext
+
+        task, total = TaskContext.get(), 0
+        name = f"{parts}/{task.partitionId():08d}-{task.taskAttemptId()}"
+        with create_bytes(name) as out:
+            for b in batches:
+                columns = [b.column(n).to_pylist() for n in names]
+                marks = b.column("_deleted").to_pylist() if has_mark else [False] * b.num_rows
+                out.write(b"".join((b"*" if m else b" ") + b"".join(encode_value(f, x, code) for f, x in zip(fields, row)) for m, row in zip(marks, zip(*columns))))
+                total += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([total], pa.int64())], names=["part", "name", "n"])
+
+    try:
+        written = {r["part"]: r for r in df.mapInArrow(run, "part int, name string, n long").collect()}  # a row a partition
+        total = sum(r["n"] for r in written.values())
+        with create_bytes(path) as f:
+            f.write(header_bytes(fields, total, driver, code=code))
+            for k in sorted(written):
+                append_file(f, written[k]["name"])
+            f.write(b"\x1a")
+    finally:
+        remove_folder(parts)
     return total
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from urllib.parse import urlparse
 
@@ -20,6 +21,42 @@ def open_bytes(path: str):
     return system.open_input_file(inner)
 
 
+def local_path(path: str) -> str | None:
+    """The path on this machine's file systems, or None for another URI."""
+    parts = urlparse(path)
+    return path if not parts.scheme else parts.path if parts.scheme == "file" else None
+
+
+def create_bytes(path: str):
+    """A binary file to be written from its beginning, on a local path or any URI that Arrow knows; folders are made."""
+    local = local_path(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local) or ".", exist_ok=True)
+        return open(local, "wb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_output_stream(inner)
+
+
+def append_file(out, path: str, piece: int = 8 << 20) -> None:
+    """Copy a file's bytes to an open one, a piece at a time."""
+    with open_bytes(path) as f:
+        while raw := f.read(piece):
+            out.write(raw)
+
+
+def remove_folder(path: str) -> None:
+    local = local_path(path)
+    if local is not None:
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    system.delete_dir(inner)
+
+
 def read_range(path: str, begin: int, size: int) -> bytes:
     with open_bytes(path) as f:
         f.seek(begin)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import struct
 import uuid
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import QueryError
-from .files import read_range, size_of
+from .files import append_file, create_bytes, open_bytes, read_range, remove_folder, size_of
 
 # Type tags of the format.
 BOOLEAN, INT32, INT64, UINT64, FLOAT32, FLOAT64, STRING, BYTES, DATE, TIMESTAMP, UUID, JSON = 0x01, 0x10, 0x11, 0x12, 0x20, 0x21, 0x30, 0x31, 0x40, 0x41, 0x60, 0x70
@@ -40,12 +39,48 @@ def crc_table() -> list[int]:
 _CRC = crc_table()
 
 
-def crc32c(raw: bytes, before: int = 0) -> int:
-    """CRC-32C of raw, or of what gave `before` followed by raw."""
-    c = before ^ 0xFFFFFFFF
+def _bytewise(raw: bytes, c: int) -> int:
     for b in raw:
         c = c >> 8 ^ _CRC[(c ^ b) & 255]
-    return c ^ 0xFFFFFFFF
+    return c
+
+
+LANES = 1024  # pieces of a large input whose checksums are made side by side
+
+
+def crc32c(raw: bytes, before: int = 0) -> int:
+    """CRC-32C of raw, or of what gave `before` followed by raw. Large inputs are cut into lanes, done as vectors and joined."""
+    if len(raw) < 64 * LANES:
+        return _bytewise(raw, before ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+    import numpy as np
+
+    width = len(raw) // LANES
+    rows = np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * LANES).reshape(LANES, width).T)
+    table, c = np.array(_CRC, np.uint32), np.full(LANES, 0xFFFFFFFF, np.uint32)
+    for row in rows:
+        c = (c >> np.uint32(8)) ^ table[(c ^ row) & np.uint32(255)]
+    out = before
+    for x in (c ^ np.uint32(0xFFFFFFFF)).tolist():
+        out = crc32c_joined(out, x, width)
+    return crc32c(raw[width * LANES :], out)
+
+
+@lru_cache(maxsize=64)
+def _zeros(size: int) -> tuple[int, ...]:
+    """What `size` zero bytes do to each bit of a running checksum: a 32 x 32 matrix over two elements, by squaring."""
+    times = lambda m, v: reduce(lambda a, i: a ^ (m[i] if v >> i & 1 else 0), range(32), 0)
+    step, out = tuple(_bytewise(b"\0", 1 << i) for i in range(32)), tuple(1 << i for i in range(32))
+    while size:
+        if size & 1:
+            out = tuple(times(step, v) for v in out)
+        step, size = tuple(times(step, v) for v in step), size >> 1
+    return out
+
+
+def crc32c_joined(a: int, b: int, size: int) -> int:
+    """CRC-32C of two pieces from theirs; size: bytes of the second."""
+    m = _zeros(size)
+    return reduce(lambda x, i: x ^ (m[i] if a >> i & 1 else 0), range(32), 0) ^ b
 
 
 @dataclass(frozen=True)
@@ -175,9 +210,18 @@ class XbfReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.rows = options["path"], int(options.get("rows", 100_000))
         self.layout = read_layout(self.path)
-        if options.get("verify", "true") == "true" and crc32c(read_range(self.path, self.layout.data, self.layout.data_length)) != self.layout.data_crc:
+        if options.get("verify", "true") == "true" and self.checksum() != self.layout.data_crc:
             raise QueryError("the XBF data is damaged")
 
+    def checksum(self, piece: int = 16 << 20) -> int:
+        out, left, at = 0, self.layout.data_length, self.layout.data
+        while left > 0:
+            raw = read_range(self.path, at, min(piece, left))
+            if not raw:
+                break
+            out, left, at = crc32c(raw, out), left - len(raw), at + len(raw)
+        return out
+
     def partitions(self):
         n = self.layout.count
         return [Entries(i, min(self.rows, n - i)) for i in range(0, n, self.rows)] or [Entries(0, 0)]
@@ -232,41 +276,95 @@ def encode_one(tag: int, x) -> bytes:
 
 
 def write_xbf(df: DataFrame, path: str, generation: int = 0) -> int:
-    """Write df as one XBF file on a local path; tasks encode records, the driver writes them partition by partition."""
+    """Write df as one XBF file; the number of records.
+
+    path: local, or a URI that driver and executors reach. Tasks encode records, their
+    directory entries and checksums into part files beside it; the driver joins them.
+    """
+    import numpy as np
     import pyarrow as pa
 
     if "_record_number" in df.columns:
         df = df.orderBy("_record_number")
     fields = [XField(c.name, tag_of(c), (c.metadata or {}).get("xbf_flags", 1)) for c in df.schema if c.name not in ("_record_number", "_deleted")]
-    names, has_mark = [f.name for f in fields], "_deleted" in df.columns
+    names, has_mark, parts = [f.name for f in fields], "_deleted" in df.columns, f"{path}.parts-{uuid.uuid4().hex}"
 
     def run(batches):
-        for b in batches:
-            marks = b.column("_deleted").to_pylist() if has_mark else [False] * b.num_rows
-            rows = [b"".join(encode_one(f.tag, x) for f, x in zip(fields, row)) for row in zip(*(b.column(n).to_pylist() for n in names))]
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(rows)], pa.binary()), pa.array([[len(r) for r in rows]], pa.list_(pa.int64())), pa.array([[bool(m) for m in marks]], pa.list_(pa.bool_()))], names=["raw", "sizes", "marks"])
+        from pyspark import TaskContext
+
+        task, size, count, crc = TaskContext.get(), 0, 0, 0
+        name = f"{parts}/{task.partitionId():08d}-{task.taskAttemptId()}"
+        with create_bytes(name + ".data") as data, create_bytes(name + ".spans") as spans:
+            for b in batches:
+                marks = b.column("_deleted").to_pylist() if has_mark else [False] * b.num_rows
+                rows = [b"".join(encode_one(f.tag, x) for f, x in zip(fields, row)) for row in zip(*(b.column(n).to_pylist() for n in names))]
+                raw, entries = b"".join(rows), np.zeros(len(rows), SPAN)
+                entries["size"], entries["mark"] = [len(r) for r in rows], marks
+                entries["at"] = size + np.cumsum(entries["size"]) - entries["size"]
+                data.write(raw)
+                spans.write(entries.tobytes())
+                crc, size, count = crc32c(raw, crc), size + len(raw), count + len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, size, count, crc)], names=["part", "name", "size", "n", "crc"])
 
     schema = struct.pack("<I", len(fields)) + b"".join(struct.pack("<H", len(f.name.encode())) + f.name.encode() + struct.pack("<BBH", f.tag, f.flags, 0) for f in fields)
-    spans, size, data_crc = bytearray(), 0, 0
-    with open(path + ".data", "w+b") as data, open(path, "wb") as f:
-        for row in df.mapInArrow(run, "raw binary, sizes array<long>, marks array<boolean>").toLocalIterator():
-            data.write(row["raw"])
-            data_crc = crc32c(row["raw"], data_crc)
-            for n, m in zip(row["sizes"], row["marks"]):
-                spans += struct.pack("<QQII", size, n, int(m), 0)
-                size += n
-        count = len(spans) // 24
-        begin = HEADER + len(schema) + len(spans)
-        for i in range(0, len(spans), 24):
-            struct.pack_into("<Q", spans, i, begin + struct.unpack_from("<Q", spans, i)[0])
-        head = MAGIC + struct.pack("<HHII", 1, 0, 0, HEADER) + struct.pack("<QQI", HEADER, len(schema), crc32c(schema)) + struct.pack("<QQI", HEADER + len(schema), len(spans), crc32c(bytes(spans))) + struct.pack("<QQI", begin, size, data_crc) + struct.pack("<QQ", count, generation)
-        f.write(head + struct.pack("<II", crc32c(head + bytes(8)), 0) + schema + spans)
-        data.seek(0)
-        shutil.copyfileobj(data, f)
-    os.remove(path + ".data")
+    try:
+        written = {r["part"]: r for r in df.mapInArrow(run, "part long, name string, size long, n long, crc long").collect()}  # a row a partition
+        order = [written[k] for k in sorted(written)]
+        count, size = sum(r["n"] for r in order), sum(r["size"] for r in order)
+        begin = HEADER + len(schema) + 24 * count
+        data_crc = spans_crc = 0
+        joined, at = f"{parts}/spans", begin
+        with create_bytes(joined) as out:
+            for r in order:
+                with open_bytes(r["name"] + ".spans") as f:
+                    while raw := f.read(24 << 16):
+                        entries = np.frombuffer(raw, SPAN).copy()
+                        entries["at"] += at
+                        out.write(entries.tobytes())
+                        spans_crc = crc32c(entries.tobytes(), spans_crc)
+                at += r["size"]
+                data_crc = crc32c_joined(data_crc, r["crc"], r["size"])
+        head = MAGIC + struct.pack("<HHII", 1, 0, 0, HEADER) + struct.pack("<QQI", HEADER, len(schema), crc32c(schema)) + struct.pack("<QQI", HEADER + len(schema), 24 * count, spans_crc) + struct.pack("<QQI", begin, size, data_crc) + struct.pack("<QQ", count, generation)
+        with create_bytes(path) as f:
+            f.write(head + struct.pack("<II", crc32c(head + bytes(8)), 0) + schema)
+            append_file(f, joined)
+            for r in order:
+                append_file(f, r["name"] + ".data")
+    finally:
+        remove_folder(parts)
     return count
 
 
+#: An entry of the directory of records.
+SPAN = [("at", "<u8"), ("size", "<u8"), ("mark", "<u4"), ("zero", "<u4")]
+
+
+def dbf_to_xbf(spark: SparkSession, source: str, target: str, encoding: str | None = None) -> int:
+    """Convert a DBF file (deleted records and memo texts included) into an XBF file; the number of records."""
+    from . import dbf
+
+    dbf.register(spark)
+    reader = spark.read.format("dbf")
+    df = (reader.option("encoding", encoding) if encoding else reader).load(source)
+    return write_xbf(df, target)
+
+
+def xbf_to_dbf(spark: SparkSession, source: str, target: str, width: int = 254, lossy: bool = False) -> int:
+    """Convert an XBF file into a DBF file; the number of records. What a DBF can't hold as it is raises, unless lossy."""
+    from . import dbf
+
+    register(spark)
+    df = spark.read.format("xbf").load(source)
+    rows = df.drop("_record_number", "_deleted")
+    if not lossy and (bad := [r["column"] + ": " + r["reason"] for r in representable(rows).collect()]):
+        raise QueryError(f"a DBF can't hold this: {'; '.join(sorted(bad))}")
+    for c in rows.schema:
+        # metadata of the other format goes; what has no field type becomes text
+        plain = F.col(f"`{c.name}`") if dbf.spark_type(dbf.field_for(T.StructField(c.name, c.dataType)), None).typeName() != "string" or isinstance(c.dataType, (T.StringType, T.DateType)) else F.col(f"`{c.name}`").cast("string")
+        df = df.withColumn(c.name, plain.alias(c.name, metadata={}))
+    return dbf.write_dbf(df, target)
+
+
 def representable(df: DataFrame) -> DataFrame:
     """column, reason, n: values that a DBF of the usual field types can't hold as they are."""
     checks = []

@@ -87,6 +87,27 @@ def test_xbf_round_trip_and_damage(spark, tmp_path):
     assert xbf.crc32c(b"123456789") == 0xE3069283 and xbf.crc32c(b"6789", xbf.crc32c(b"12345")) == 0xE3069283
 
 
+def test_checksums_in_lanes_and_joined():
+    import random
+
+    raw = random.Random(1).randbytes(200_003)
+    slow = xbf._bytewise(raw, 0xFFFFFFFF) ^ 0xFFFFFFFF
+    assert xbf.crc32c(raw) == slow == xbf.crc32c(raw[90_000:], xbf.crc32c(raw[:90_000]))
+    assert xbf.crc32c_joined(xbf.crc32c(raw[:777]), xbf.crc32c(raw[777:]), len(raw) - 777) == slow
+
+
+def test_conversions_both_ways(spark, tmp_path):
+    d, x, back = (str(tmp_path / n) for n in ("a.dbf", "a.xbf", "b.dbf"))
+    df = spark.createDataFrame([(1, "Ärger", 2.5, True, 1, False), (2, "x", -1.25, None, 2, True), (3, "y", None, False, 3, False)], "n long, c string, f double, l boolean, _record_number long, _deleted boolean")
+    dbf.write_dbf(df.repartition(3), d)
+    assert xbf.dbf_to_xbf(spark, d, "file://" + x) == 3 and xbf.xbf_to_dbf(spark, x, "file://" + back) == 3
+    assert sorted(map(tuple, spark.read.format("dbf").load(back).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    xbf.write_xbf(spark.createDataFrame([("z" * 300,)], "c string"), x)
+    with pytest.raises(QueryError, match="longer than 254"):
+        xbf.xbf_to_dbf(spark, x, back)
+    assert not [p for p in tmp_path.iterdir() if "parts" in p.name]
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "t"))
