@@ -535,6 +535,176 @@ def _store_default_gc_backup(e: Engine) -> DataFrame:
     return e.spark.createDataFrame([("kept", len(store.manifest())), ("dropped", len(dropped)), ("rows", rows), ("defaulted", defaulted), ("restored", store.read().count())], "what string, n long")
 
 
+# -- further operators --------------------------------------------------------
+
+document(
+    "find_eq", "orders", {"filter": {"o_orderstatus": {"$eq": "F"}, "o_totalprice": {"$gt": 200000}}, "projection": {"o_orderkey": 1}},
+    "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000",
+)
+document(
+    "expr_or_not_ne", "lineitem",
+    {"filter": {"$expr": {"$or": [{"$ne": ["$l_linestatus", "O"]}, {"$not": {"$lt": ["$l_tax", "$l_discount"]}}]}}, "aggregate": [{"$group": {"_id": "$l_returnflag", "n": {"$count": {}}}}]},
+    """SELECT l_returnflag AS "_id", count(*) AS n FROM lineitem WHERE l_linestatus <> 'O' OR NOT l_tax < l_discount GROUP BY 1""",
+)
+document(
+    "expr_array_root_current", "part",
+    {"aggregate": [{"$set": {"three": ["$p_size", 1, "$$ROOT.p_partkey"], "brand": "$$CURRENT.p_brand"}}, {"$unwind": {"path": "$three", "includeArrayIndex": "i"}}, {"$group": {"_id": "$brand", "n": {"$count": {}}, "sum": {"$sum": "$three"}, "places": {"$sum": "$i"}}}]},
+    """SELECT p_brand AS "_id", 3 * count(*) AS n, CAST(sum(p_size + 1 + p_partkey) AS BIGINT) AS sum, 3 * count(*) AS places FROM part GROUP BY 1""",
+)
+document(
+    "expr_index_of_range", "part", {"aggregate": [{"$set": {"at": {"$indexOfCP": ["$p_type", "E", 2, 9]}}}, {"$group": {"_id": "$at", "n": {"$count": {}}}}]},
+    """SELECT CAST(CASE WHEN instr(substr(p_type, 3, 7), 'E') > 0 THEN instr(substr(p_type, 3, 7), 'E') + 1 ELSE -1 END AS BIGINT) AS "_id", count(*) AS n FROM part GROUP BY 1""",
+)
+document(
+    "arr_filter_limit_reduce_index", "embeddings",
+    {"aggregate": [{"$set": {"sum": {"$reduce": {"input": {"$filter": {"input": "$embedding", "as": "x", "cond": {"$gt": ["$$x", 0.1]}, "limit": 5}}, "initialValue": 0.0, "arrayIndexAs": "i", "in": {"$add": ["$$value", {"$multiply": ["$$this", {"$add": ["$$i", 1]}]}]}}}}},
+                   {"$group": {"_id": "$label", "sum": {"$sum": "$sum"}, "most": {"$max": "$sum"}}}]},
+    """SELECT label AS "_id", round(sum(s), 3) AS sum, round(max(s), 3) AS most FROM (SELECT label, coalesce(list_sum(list_transform(list_filter(embedding, lambda x: x > 0.1)[1:5], lambda x, i: x::DOUBLE * i)), 0) AS s FROM embeddings) GROUP BY 1""",
+    rounded("sum", "most", to=3),
+)
+document(
+    "arr_all_elem_match", "embeddings", {"filter": {"embedding": {"$all": [{"$elemMatch": {"$gt": 0.35}}, {"$elemMatch": {"$lt": -0.35}}]}}, "projection": {"vec_id": 1}},
+    "SELECT vec_id FROM embeddings WHERE list_max(embedding) > 0.35 AND list_min(embedding) < -0.35",
+)
+document(
+    "projection_nested", "events", {"filter": {"event_type": "click"}, "projection": {"event_id": 1, "props.k": 1}},
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'",
+    lambda df: df.select("event_id", F.col("props.k").alias("k")),
+)
+document(
+    "group_having_sum", "lineitem", {"aggregate": [{"$group": {"_id": "$l_suppkey", "rev": {"$sum": "$l_extendedprice"}, "n": {"$count": {}}}}, {"$match": {"n": {"$gte": 5}}}, {"$sort": {"n": -1, "_id": 1}}, {"$limit": 20}]},
+    """SELECT l_suppkey AS "_id", round(sum(l_extendedprice), 2) AS rev, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, 1 NULLS FIRST LIMIT 20""",
+    rounded("rev", to=2),
+)
+document(
+    "bucket_many", "orders", {"aggregate": [{"$bucket": {"groupBy": "$o_totalprice", "boundaries": list(range(0, 500_001, 5000)), "default": -1, "output": {"n": {"$count": {}}}}}]},
+    """SELECT CAST(CASE WHEN o_totalprice >= 0 AND o_totalprice < 500000 THEN floor(o_totalprice / 5000) * 5000 ELSE -1 END AS BIGINT) AS "_id", count(*) AS n FROM orders GROUP BY 1""",
+)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The order of few sorted rows as a column, so that it counts in comparisons."""
+    return df.withColumn("place", F.monotonically_increasing_id() + 1)  # a limit leaves one partition
+
+
+@query(
+    "collation_lower_accents",
+    """WITH w AS (SELECT DISTINCT unnest(str_split(text, ' ')) AS w FROM documents), n AS (SELECT CASE WHEN length(w) % 2 = 0 THEN upper(w) ELSE w END AS w FROM w WHERE regexp_matches(w, '^[a-zA-ZÀ-ÖØ-Þà-öø-þ]+$') AND regexp_matches(w, '[À-ÖØ-Þà-öø-þ]')),
+       u AS (SELECT min(w) AS w FROM n GROUP BY lower(w)) SELECT w, row_number() OVER (ORDER BY lower(w)) AS place FROM u ORDER BY lower(w) LIMIT 60""",
+)
+def _collation_lower_accents(e: Engine) -> DataFrame:
+    """Words of the documents with accented letters, every other in capitals."""
+    w = e.table("documents").select(F.explode(F.split("text", " ")).alias("w")).distinct().where(F.col("w").rlike("^[a-zA-ZÀ-ÖØ-Þà-öø-þ]+$") & F.col("w").rlike("[À-ÖØ-Þà-öø-þ]"))
+    w = w.select(F.when(F.length("w") % 2 == 0, F.upper("w")).otherwise(F.col("w")).alias("w")).groupBy(F.lower("w")).agg(F.min("w").alias("w")).select("w")
+    return placed(e.find(w, {"sort": {"w": 1}, "collation": "unicode-lowercase", "limit": 60}))
+
+
+_WIDE, _NARROW = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26)), "".join(chr(65 + i) for i in range(26)) + "".join(chr(97 + i) for i in range(26))
+
+
+@query(
+    "collation_nfkc_wide",
+    f"""WITH w AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN translate(n_name, '{_NARROW}', '{_WIDE}') ELSE lower(n_name) END AS w FROM nation)
+        SELECT n_nationkey, w, row_number() OVER (ORDER BY lower(translate(w, '{_WIDE}', '{_NARROW}')), n_nationkey) AS place FROM w ORDER BY place LIMIT 20""",
+)
+def _collation_nfkc_wide(e: Engine) -> DataFrame:
+    """Names of nations, every other in full-width letters: equal to the narrow ones under compatibility normalisation alone."""
+    w = e.table("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.translate("n_name", _NARROW, _WIDE)).otherwise(F.lower("n_name")).alias("w"))
+    return placed(e.find(w, {"sort": {"w": 1, "n_nationkey": 1}, "collation": "unicode-nfkc-lowercase", "limit": 20}))
+
+
+#: First code point and number of the characters that the queries below sort; every seventh of them.
+_SCRIPTS = {"ja": (0x3041, 86 * 7), "zh": (0x4E00, 300 * 7), "ko": (0xAC00, 300 * 7)}
+
+
+def _collation_of(lang: str) -> None:
+    first, n = _SCRIPTS[lang]
+
+    @query(
+        f"collation_icu_{lang}_script",
+        f"SELECT w, row_number() OVER (ORDER BY w COLLATE {lang}) AS place FROM (SELECT chr({first} + CAST(i AS INTEGER)) || chr({first} + CAST({n} - i AS INTEGER)) AS w FROM range(0, {n}, 7) t(i)) ORDER BY place LIMIT 80",
+    )
+    def run(e: Engine) -> DataFrame:
+        words = e.spark.createDataFrame([(chr(first + i) + chr(first + n - i),) for i in range(0, n, 7)], "w string")
+        return placed(e.find(words, {"sort": {"w": 1}, "collation": f"icu4x-2.1.1-{lang}", "limit": 80}))
+
+
+for _lang in _SCRIPTS:
+    _collation_of(_lang)
+
+
+@query("stream_rows", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
+def _stream_rows(e: Engine) -> DataFrame:
+    """A row stream read as JSON lines by the client."""
+    import json
+
+    rows = [json.loads(x) for x in e.stream("nation", {"filter": {"n_regionkey": {"$in": [1, 3]}}, "projection": {"n_nationkey": 1, "n_name": 1}}).json()]
+    return e.spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
+
+
+@query("explain_pushdown", "SELECT 'o_custkey' AS field, true AS pushed, false AS unused UNION ALL SELECT 'o_totalprice', true, false")
+def _explain_pushdown(e: Engine) -> DataFrame:
+    """Which predicates the plan of a filter gives to the scan, and whether it reads a column that nothing needs."""
+    plan = e.explain("orders", {"filter": {"o_custkey": {"$gte": 5}, "o_totalprice": {"$lt": 1000.5}}, "projection": {"o_orderkey": 1}})["plan"]
+    pushed, schema = plan.split("PushedFilters")[1].split("\n")[0], plan.split("ReadSchema")[1].split("\n")[0]
+    return e.spark.createDataFrame([(f, f in pushed, "o_orderpriority" in schema) for f in ("o_custkey", "o_totalprice")], "field string, pushed boolean, unused boolean")
+
+
+@query("validation", "SELECT 'query' AS kind, 9 AS refused UNION ALL SELECT 'join', 3 UNION ALL SELECT 'page', 2 UNION ALL SELECT 'limit', 1")
+def _validation(e: Engine) -> DataFrame:
+    """Documents, cursors and results that must be refused."""
+    from .errors import QueryError
+    from .limits import STRICT
+    from .plans.documents import parse_join, parse_query
+
+    page = e.page("orders", {"sort": {"o_totalprice": 1}, "page_size": 5})
+    strict = Engine(e.spark, e._tables, STRICT)
+    tries = [("query", lambda d=d: parse_query(d)) for d in ({"having": {}}, {"sort": {"A": 3}}, {"limit": -2}, {"skip": "1"}, {"filter": {"A": {"$almost": 1}}}, {"projection": {"A": 0, "B": 1}}, {"aggregate": []}, {"page_size": 0}, {"collation": "unicode-lowercase"})]
+    tries += [("join", lambda d=d: parse_join(d)) for d in ({"from": "a"}, {"from": "a", "join": {"table": "b", "type": "outermost", "on": {}}}, {"from": "a", "join": {"table": "b", "on": {}}})]
+    tries += [("page", lambda d=d: e.find("orders", d)) for d in ({"sort": {"o_custkey": 1}, "page_size": 5, "cursor": page.cursor}, {"page_size": 5, "cursor": "tampered"})]
+    tries += [("limit", lambda: strict.find("lineitem", {"aggregate": [{"$group": {"_id": {"$add": ["$l_extendedprice", "$l_partkey"]}}}]}) and strict.find(e.spark.range(10_001), {"aggregate": [{"$group": {"_id": "$id"}}]}))]
+    refused = {k: 0 for k, _ in tries}
+    for kind, run in tries:
+        try:
+            run()
+        except QueryError:
+            refused[kind] += 1
+    return e.spark.createDataFrame(list(refused.items()), "kind string, refused int")
+
+
+@query("catalog_discovery", "SELECT 'd' AS name, count(*) AS n FROM region UNION ALL SELECT 'p', count(*) FROM nation UNION ALL SELECT 's', count(*) FROM supplier UNION ALL SELECT 'x', count(*) FROM region")
+def _catalog_discovery(e: Engine) -> DataFrame:
+    """Tables of four kinds that one folder holds, found by name and counted."""
+    from .sources import dbf, xbf
+    from .sources.catalog import Catalog
+    from .store import Store
+
+    folder = _scratch(e)
+    dbf.register(e.spark)
+    xbf.register(e.spark)
+    dbf.write_dbf(e.table("region").withColumnsRenamed({"r_regionkey": "rkey", "r_name": "rname"}), f"{folder}/d.dbf")
+    xbf.write_xbf(e.table("region"), f"{folder}/x.xbf")
+    e.table("nation").write.parquet(f"{folder}/p.parquet")
+    Store(e.spark, f"{folder}/s").create(e.table("supplier"))
+    catalog = Catalog(e.spark, folder)
+    engine = catalog.engine()
+    rows = [(n, engine.find(n, {"aggregate": [{"$count": "n"}]}).first().n) for n in catalog.table_names()]
+    return e.spark.createDataFrame(rows, "name string, n long")
+
+
+@query("dbf_dates_and_marks", "SELECT o_orderkey AS orderkey, strftime(o_orderdate, '%Y%m%d') AS day, o_orderstatus = 'F' AS final FROM orders")
+def _dbf_dates_and_marks(e: Engine) -> DataFrame:
+    """Date and logical fields of a DBF file, by way of an XBF file made from it."""
+    from .sources import dbf, xbf
+
+    dbf.register(e.spark)
+    xbf.register(e.spark)
+    folder = _scratch(e)
+    dbf.write_dbf(e.table("orders").select(F.col("o_orderkey").alias("orderkey"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderstatus") == "F").alias("final")), f"{folder}/o.dbf")
+    xbf.dbf_to_xbf(e.spark, f"{folder}/o.dbf", f"{folder}/o.xbf")
+    return e.spark.read.format("xbf").load(f"{folder}/o.xbf").select("orderkey", "day", "final")
+
+
 # -- files --------------------------------------------------------------------
 
 
