@@ -71,3 +71,23 @@ def test_only_null_texts(spark):
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Texts beyond SLICE_BYTES, with a repeated passage and a near copy, against brute force."""
+    import random
+
+    from quillon.llm.textops import SLICE_BYTES
+    from tests.llm.test_text_operators import brute_classes, brute_lines, brute_repeats
+
+    r = random.Random(6)
+    vocabulary = [f"{chr(97 + i % 26)}word{i}" for i in range(5000)]
+    long = [" ".join(r.choice(vocabulary) for _ in range(120_000)) for _ in range(2)]
+    long.append(long[0][:-3000] + " another end")
+    long[1] = long[1][:500_000] + "\n" + long[0][200_000:201_000] + "\n" + long[1][500_000:]
+    by_id = dict(enumerate([*long, "short", None, long[0][200_100:200_400]]))
+    assert min(len(t) for t in long) > SLICE_BYTES
+    frame = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    assert {x.doc_id: (x.class_id, x.n_links) for x in neardup.classes(frame).collect()} == brute_classes(by_id)
+    assert {x[0]: tuple(x[1:]) for x in substring.report(frame).collect()} == brute_repeats(by_id)
+    assert {x[0]: tuple(x[1:]) for x in linedup.report(frame).collect()} == brute_lines(by_id)
