@@ -47,5 +47,6 @@ def test_whole_tables(spark, sql, monkeypatch):
     monkeypatch.setattr(xbf, "write_xbf", lambda *a: written.append(put(*a)))
     assert QUERIES["xbf_round_trip"](spark, SF).count() == sql.sql(ORACLE_SQL["xbf_round_trip"]).count("*").fetchall()[0][0]
     assert written == [sql.sql("SELECT count(*) FROM orders").fetchall()[0][0]]
+    assert QUERIES["find_or_not"](spark, SF).count() > 0
     assert sum(r.n for r in QUERIES["expr_mod"](spark, SF).collect()) == sql.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
     assert QUERIES["find_not"](spark, SF).count() > 0
